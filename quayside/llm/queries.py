@@ -37,10 +37,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.near_dedup import near_dedup
+
+    return near_dedup(documents(spark, sf_dir), threshold=0.8, shingle=5).drop("_row")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm import labelled, toxicity
+
+    docs = documents(spark, sf_dir)
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), labelled.crc_remainder("id", 5) != 0)
+    return toxicity.score_toxicity(docs, lexicon).select(
+        "doc_id", (labelled.crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_words"
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL = {
