@@ -59,6 +59,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, k=10)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm import labelled, quality
+
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), labelled.crc_remainder("id", 3) != 1)
+    return quality.score_quality(docs, model).select("doc_id", (labelled.crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -66,6 +80,8 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
