@@ -73,12 +73,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (labelled.crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.sentencepiece_codec import decode_pieces, encode_pieces
+
+    model = tokenizer("piece_bpe_32k.model")
+    out = decode_pieces(encode_pieces(documents(spark, sf_dir), model), model)
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "n_repaired", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality": op10_quality,
