@@ -15,7 +15,7 @@ def clean(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Entries between commas and semicolons outside parentheses, without empty ones."""
-    parts = F.transform(F.split(text, r"[,;](?![^()]*\))"), F.trim)
+    parts = F.transform(F.split(text, r"[,;](?![^()]*\))"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

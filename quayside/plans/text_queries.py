@@ -10,11 +10,9 @@ from quayside.operators import matching, reviews
 from quayside.plans.base import sql
 from quayside.sources import pages, tables as T
 
-_TITLE = F.concat("brand", F.lit(" Complete "), "title", F.lit(" "), (F.col("weight_grams") / 100).cast("int").cast("string"), F.lit("kg 12 x 400g & More"))
-
-
 def _listings(spark, sf_dir):
-    return T.listings(spark, sf_dir).withColumn("long_title", _TITLE)
+    kg = (F.col("weight_grams") / 100).cast("int").cast("string")
+    return T.listings(spark, sf_dir).withColumn("long_title", F.concat("brand", F.lit(" Complete "), "title", F.lit(" "), kg, F.lit("kg 12 x 400g & More")))
 
 
 def _pages(spark, sf_dir):
