@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._common import text_of
+from quayside.llm._common import Scratch, text_of
 
 
 def crc_remainder(id_col: str, modulus: int) -> Column:
@@ -13,18 +13,18 @@ def crc_remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` rows of each label, those with the smallest hashes of their ids.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, y, text) of at most ``per_class`` ids of each label, those with the smallest hashes, with whole texts.
 
     ``train`` tells by the id which rows may be learned from. Labels other than 0 and 1 are left out; of an id
-    with several labels the largest counts. At most twice ``per_class`` rows come to the driver, each text cut
-    to its first 100,000 characters there.
+    with several labels the largest counts. Only the chosen ids, bounded by ``per_class``, are broadcast; the texts stay
+    on the executors, in the shared folder.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(train)
     order = F.xxhash64("id")
     chosen = lab.where("y = 1").select("id", "y").orderBy(order, "id").limit(per_class).union(lab.where("y = 0").select("id", "y").orderBy(order, "id").limit(per_class))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.left(text_of(text_col), F.lit(100_000)).alias("text")).join(F.broadcast(chosen), "id")
-    return sorted((r.text, int(r.y)) for r in rows.select("text", "y").collect())
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return Scratch(docs.sparkSession).keep(rows.select("id", F.col("y").cast("int").alias("y"), "text"), "sample")
 
 
 def logistic(x, y, l2: float = 1e-2, steps: int = 50):

@@ -8,6 +8,7 @@ of them are computed exactly, in blocks, and its nearest neighbours vote, weight
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm import labelled
-from quayside.llm._common import text_blocks, text_of
+from quayside.llm._common import Scratch, text_blocks, text_of
 from quayside.llm.bagminhash import mix, words
 from quayside.llm.chunks import text_bytes
 
@@ -75,15 +76,17 @@ class Neighbours:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     @classmethod
-    def fit(cls, examples: list[tuple[str, int]], dims: int = 48, k: int = 15, power: float = 8.0) -> Neighbours | None:
-        ys = np.array([y for _, y in examples], dtype=np.float32)
+    def fit(cls, counts: np.ndarray, ys: np.ndarray, dims: int = 48, k: int = 15, power: float = 8.0) -> Neighbours | None:
+        """Of the features and labels of the examples; None unless both labels are there."""
         if not len(ys) or ys.min() == ys.max():
             return None
-        counts = np.vstack([features(pa.array([t for t, _ in examples[i : i + 256]])) for i in range(0, len(examples), 256)])
         idf = np.log((1 + len(ys)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
         x = cls.weigh(counts, idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        basis = vectors[:, ::-1][:, : min(dims, len(ys))].astype(np.float32)
+        basis = np.linalg.qr(np.random.default_rng(5).normal(size=(x.shape[1], min(dims + 16, len(ys)))).astype(np.float32))[0]
+        for _ in range(8):  # subspace iteration for the leading right singular vectors
+            basis = np.linalg.qr(x.T @ (x @ basis))[0]
+        right = np.linalg.svd(x @ basis, full_matrices=False)[2]
+        basis = (basis @ right.T)[:, : min(dims, len(ys))].astype(np.float32)
         latent = x @ basis
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         return cls(idf, basis, latent.astype(np.float32), ys, k, power)
@@ -106,8 +109,32 @@ class Neighbours:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Neighbours | None:
-    """Learned from at most ``per_class`` examples of each label; None if the labels don't hold both."""
-    return Neighbours.fit(labelled.sample(docs, labels, "quality", train, per_class, id_col, text_col))
+    """Learned from at most ``per_class`` examples of each label; None if the labels don't hold both.
+
+    Features are counted in parallel; one task, bounded by ``per_class``, fits the model, and the driver gets its arrays.
+    """
+    examples = labelled.sample(docs, labels, "quality", train, per_class, id_col, text_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, "text", 1 << 20):
+            rows = [x.tobytes() for x in features(block.column("text"))]
+            yield pa.RecordBatch.from_arrays([block.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ys, rows = [], []
+        for batch in batches:
+            ys += batch.column("y").to_pylist()
+            rows += [np.frombuffer(x.as_buffer(), dtype=np.float32) for x in batch.column("x")]
+        fitted = None
+        if rows:
+            counts, labels_ = np.stack(rows), np.array(ys, dtype=np.float32)
+            order = np.lexsort((*counts.T[:8], labels_))
+            fitted = Neighbours.fit(counts[order], labels_[order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], names=["model"])
+
+    counted = Scratch(docs.sparkSession).keep(examples.select("y", "text").mapInArrow(count, "y int, x binary"), "features")
+    got = counted.coalesce(1).mapInArrow(model, "model binary").collect()
+    return pickle.loads(bytes(got[0].model)) if got else None
 
 
 def _score(model: Neighbours | None, texts: pa.Array) -> np.ndarray:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,31 +51,32 @@ def terms_of(folded: str) -> set[str]:
     return out
 
 
-def learn(examples: list[tuple[str, int]], max_terms: int = 5000, least_docs: int = 3, least_weight: float = 0.5) -> dict[str, float]:
-    """The lexicon: terms of at least ``least_docs`` toxic examples and their weights, the largest ``max_terms``.
+def learn(examples: DataFrame, max_terms: int = 5000, least_docs: int = 3, least_weight: float = 0.5) -> dict[str, float]:
+    """The lexicon of (id, y, text): terms of at least ``least_docs`` toxic examples and their weights, the largest ``max_terms``.
 
-    A weight is the log odds less 2.6 standard errors, so that chance terms fall out. Examples that begin or end
-    as another one do count once, as copies say nothing new. A longer term is left out where a beginning of it says as much.
+    A weight is the log odds less 2.6 standard errors, so that chance terms fall out. Of examples of a label that begin or end
+    alike one counts, as copies say nothing new. A longer term is left out where a beginning of it says as much.
+    Terms are counted on the executors; only the chosen ones come to the driver.
     """
-    toxic, clean, n1, n0 = Counter(), Counter(), 0, 0
-    seen: set[tuple[int, int, str]] = set()
-    for text, y in examples:
-        ends = {(y, 0, text[:40]), (y, 1, text[-40:])}
-        if ends & seen:
-            continue
-        seen |= ends
-        (toxic if y else clean).update(terms_of(fold(text)))
-        n1, n0 = n1 + (y == 1), n0 + (y == 0)
+    for side in (F.left, F.right):
+        once = examples.groupBy("y", side("text", F.lit(40)).alias("end")).agg(F.min(F.struct("id", "text")).alias("x"))
+        examples = once.select("x.id", "y", "x.text")
+    totals = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return {}
-    odds = {}
-    for t, k in toxic.items():
-        if k >= least_docs:
-            c = clean[t]
-            w = math.log((k + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) - 2.6 * math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))
-            if w >= least_weight:
-                odds[t] = w
-    chosen = dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:max_terms])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, "text"):
+            for y, text in zip(block.column("y").to_pylist(), block.column("text").to_pylist(), strict=True):
+                terms = sorted(terms_of(fold(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32())], names=["term", "y"])
+
+    counted = examples.select("y", "text").mapInArrow(split, "term string, y int").groupBy("term").agg(F.sum("y").alias("k"), F.sum(1 - F.col("y")).alias("c"))
+    k, c = F.col("k") + 0.5, F.col("c") + 0.5
+    weight = F.log(k / (n1 + 1)) - F.log(c / (n0 + 1)) - 2.6 * F.sqrt(1 / k + 1 / c)
+    best = counted.where(F.col("k") >= least_docs).select("term", weight.alias("w")).where(F.col("w") >= least_weight).orderBy(F.desc("w"), "term").limit(max_terms)
+    chosen = {r.term: r.w for r in best.collect()}
     return {t: w for t, w in chosen.items() if not any(t[: n + 1] != t and chosen.get(t[: n + 1], -1.0) >= w for n in PREFIXES)}
 
 
@@ -136,8 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
     terms = learn(examples)
     lexicon = Lexicon(terms, 0.0, -5.0)
     if terms:
-        x = [Lexicon.density(w, n) for w, _, n in (lexicon.weight(t) for t, _ in examples)]
-        lexicon.slope, lexicon.intercept = labelled.logistic(x, [y for _, y in examples], l2=1e-4)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in text_blocks(batches, "text"):
+                x = [Lexicon.density(w, n) for w, _, n in map(lexicon.weight, block.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([block.column("id"), block.column("y"), pa.array(x, pa.float64())], names=["id", "y", "x"])
+
+        kind = examples.schema["id"].dataType.simpleString()
+        points = sorted((r.x, r.y) for r in examples.mapInArrow(weigh, f"id {kind}, y int, x double").select("x", "y").collect())
+        lexicon.slope, lexicon.intercept = labelled.logistic([x for x, _ in points], [y for _, y in points], l2=1e-4)
     return lexicon
 
 
