@@ -2,10 +2,12 @@
 
 1. Every text gives a bag of word shingles, a signature and its bands. Texts with equal bags are one class,
    combined before they are shuffled, so a hot group of copies is one row from here on.
-2. Classes that share a band are candidates. No bucket is expanded into all its pairs: each bucket's leader is
+2. Classes that share a band are candidates. No large bucket is expanded into its pairs: each bucket's leader is
    compared with its other members, links are followed to components, and only buckets that still hold several
-   components go on, with another leader. What is left after these rounds is compared exactly: within each bucket
-   the members of different components, pairs tested before left out.
+   components go on, with another leader. What is left after these rounds is compared exactly. In buckets of up to
+   ``FEW`` members these are the pairs of different components. The larger buckets that
+   hang together form clusters, whose texts are compared block by block with matrix products; only links come out,
+   and a cluster's largest component isn't compared with itself.
 3. A pair is a link if the sum of smaller counts over the sum of larger counts reaches the threshold, computed
    on the texts themselves.
 """
@@ -26,6 +28,7 @@ from quayside.llm.graph import components
 
 BANDS, ROWS = 32, 6  # two texts at 0.8 share a band with a probability of 0.99994
 PART = 512  # candidates of one leader that meet its text in one group
+FEW, BLOCK = 16, 256  # members of a bucket whose pairs are listed; texts of a block
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -91,6 +94,73 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return met.mapInArrow(check, "a long, b long")
 
 
+def overlaps(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], n_left: int, n_right: int) -> np.ndarray:
+    """Multiset overlaps of all bags of one block, as (text, shingle, count), with all of another."""
+    (t1, s1, c1), (t2, s2, c2) = left, right
+    out = np.zeros((n_left, n_right), dtype=np.float32)
+    shared = np.intersect1d(s1, s2)
+    if not len(shared):
+        return out
+    in1, in2 = np.isin(s1, shared), np.isin(s2, shared)
+    t1, s1, c1, t2, s2, c2 = t1[in1], np.searchsorted(shared, s1[in1]), c1[in1], t2[in2], np.searchsorted(shared, s2[in2]), c2[in2]
+    for at in range(0, len(shared), 8192):
+        a, b = np.zeros((n_left, 8192), dtype=np.float32), np.zeros((n_right, 8192), dtype=np.float32)
+        k1, k2 = (s1 >= at) & (s1 < at + 8192), (s2 >= at) & (s2 < at + 8192)
+        a[t1[k1], s1[k1] - at] = 1
+        b[t2[k2], s2[k2] - at] = 1
+        out += a @ b.T
+    more1, more2 = c1 > 1, c2 > 1  # each shared shingle counts once so far
+    t1, s1, c1, t2, s2, c2 = t1[more1], s1[more1], c1[more1], t2[more2], s2[more2], c2[more2]
+    if len(s1) and len(s2):
+        count = np.zeros(len(shared), dtype=np.int64)
+        edges = np.searchsorted(t1, np.arange(n_left + 1))
+        for k in np.unique(t1).tolist():
+            own = slice(edges[k], edges[k + 1])
+            count[s1[own]] = c1[own] - 1
+            out[k] += np.bincount(t2, weights=np.minimum(count[s2], c2 - 1), minlength=n_right)
+            count[s1[own]] = 0
+    return out
+
+
+def block_links(members: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components of (band, node, component) whose texts are alike, one for each pair of components and blocks."""
+    # bands hang on their most widespread component, so that a cluster is nearly a star and soon found
+    own = members.select("node", "component").distinct()
+    wide = members.join(own.groupBy("component").agg(F.count(F.lit(1)).alias("wide")), "component")
+    lead = wide.groupBy("band").agg(F.max(F.struct("wide", "component")).alias("l")).select("band", F.col("l.component").alias("a"))
+    hang = members.join(lead, "band").select("a", F.col("component").alias("b")).where("a <> b").distinct()
+    named = own.join(components(hang, scratch).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
+    named = scratch.keep(named, "clusters")
+    parts = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    whole = whole.select("cluster", F.col("most.component").alias("largest"), blocks(F.col("most.n")).alias("inner"), blocks(F.col("n") - F.col("most.n")).alias("outer"))
+    spread = named.join(whole, "cluster")
+    hashed, own = F.xxhash64("node"), F.col("component") == F.col("largest")
+    block = F.when(own, F.pmod(hashed, "inner")).otherwise(F.col("inner") + F.pmod(hashed, "outer")).cast("int")
+    spread = spread.withColumn("block", block)
+    others = F.sequence(F.when(own, F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)
+    met = spread.select("cluster", "node", "component", "block", F.explode(others).alias("other")).select("cluster", "node", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def compare(pdf):
+        import pandas as pd
+
+        left, right = pdf[pdf["block"] == pdf["p"]], pdf[pdf["block"] == pdf["q"]]
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(left) and len(right):
+            (t1, s1, c1, _), (t2, s2, c2, _) = bag.bags(pa.array(left["text"]), shingle), bag.bags(pa.array(right["text"]), shingle)
+            small = overlaps((t1, s1, c1), (t2, s2, c2), len(left), len(right))
+            sizes = np.bincount(t1, weights=c1, minlength=len(left))[:, None] + np.bincount(t2, weights=c2, minlength=len(right))[None, :]
+            near = small >= threshold * (sizes - small) - 1e-3
+            ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+            na, nb = left["node"].to_numpy(), right["node"].to_numpy()
+            for i, j in np.argwhere(near & (ca[:, None] != cb[None, :])).tolist():
+                found.setdefault((int(ca[i]), int(cb[j])), (int(na[i]), int(nb[j])))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"]).astype("int64")
+
+    return met.join(texts, "node").groupBy("cluster", "p", "q").applyInPandas(compare, "a long, b long")
+
+
 def near_dedup(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -123,33 +193,42 @@ def near_dedup(
     candidates = members.select("node").distinct()
     texts = scratch.keep(numbered.select(F.col("row").alias("node"), "text").join(candidates, "node"), "texts")
 
-    links = tested = labels = None
-    for turn in range(leader_rounds + 1):
+    links = labels = None
+
+    def still_open() -> DataFrame:
         if labels is None:
-            open_ = members.withColumn("component", F.col("node"))
-        else:
-            named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-            open_ = scratch.keep(named.join(several, "band"), "open")
-        if turn < leader_rounds:
-            lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "component"))
-            leaders = open_.groupBy("band").agg(lead.alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.component").alias("component_a"))
-            pairs = open_.join(leaders, "band").where("component <> component_a").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b"))
-        else:
-            right = open_.select("band", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-            pairs = open_.join(right, "band").where("component_a < component").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b"))
-        # bags whose sizes differ more can't overlap enough
-        pairs = pairs.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
+            return members.withColumn("component", F.col("node"))
+        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        return scratch.keep(named.join(several, "band"), "open")
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """Without pairs whose sizes differ too much to overlap enough."""
+        return scratch.keep(pairs.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)).select("a", "b").distinct(), "pairs")
+
+    for turn in range(leader_rounds):
+        open_ = still_open()
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "component"))
+        leaders = open_.groupBy("band").agg(lead.alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.component").alias("component_a"))
+        pairs = fresh(open_.join(leaders, "band").where("component <> component_a").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b")))
         if not pairs.limit(1).count():
             break
         found = scratch.keep(verified(pairs, texts, shingle, threshold), "links")
         links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if turn == leader_rounds or found.limit(1).count():
-            old, labels = labels, components(links, scratch)
+        if found.limit(1).count():
+            labels = components(links, scratch)
+    open_ = still_open()
+    counted = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    few = open_.join(counted.where(F.col("n") <= FEW).select("band"), "band")
+    right = few.select("band", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
+    pairs = fresh(few.join(right, "band").where("component_a < component").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b")))
+    rest = verified(pairs, texts, shingle, threshold)
+    many = scratch.keep(open_.join(counted.where(F.col("n") > FEW).select("band"), "band"), "many")
+    if many.limit(1).count():
+        rest = rest.union(block_links(many, texts, scratch, shingle, threshold))
+    rest = scratch.keep(rest, "links")
+    if rest.limit(1).count():
+        labels = components(rest if links is None else links.union(rest), scratch)
     if labels is None:
         labels = classes.select("node", F.col("node").alias("component")).limit(0)
     grouped = classes.select("key1", "key2", "node").join(labels, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("component"))
