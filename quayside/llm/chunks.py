@@ -41,7 +41,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """``compute(chunks)`` gives the integer arrays of new chunks (bytes); ``look_up`` numbers them."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list[np.ndarray]], max_entries: int = 1_500_000, max_values: int = 12_000_000):
+    def __init__(self, compute: Callable[[list[bytes]], list[np.ndarray]], max_entries: int = 500_000, max_values: int = 4_000_000):
         self.compute, self.max_entries, self.max_values = compute, max_entries, max_values
         self.reset()
 
