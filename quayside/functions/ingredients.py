@@ -20,13 +20,13 @@ def split_list(text: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """array<struct<name, percentage, position>>; empty for null and blank. Dropped entries keep their positions."""
+    """array<struct<name, percentage, position>>; empty for null and blank. Positions count from 0; dropped entries keep theirs."""
 
     def one(part: Column, position: Column) -> Column:
         share = F.regexp_extract(part, r"(\d+(?:\.\d+)?)\s*%", 1)
         name = F.regexp_replace(F.regexp_replace(part, r"\d+(?:\.\d+)?\s*%", ""), r"\([^)]*\)", "")
         name = F.trim(F.regexp_replace(name, r"\s+", " "))
-        return F.struct(name.alias("name"), F.when(share != "", F.concat(share, F.lit("%"))).alias("percentage"), (position + 1).cast("int").alias("position"))
+        return F.struct(name.alias("name"), F.when(share != "", F.concat(share, F.lit("%"))).alias("percentage"), position.cast("int").alias("position"))
 
     found = F.filter(F.transform(split_list(clean(F.coalesce(text, F.lit("")))), one), lambda x: x["name"] != "")
     return found

@@ -64,7 +64,7 @@ def test_multi_buy_and_lists(spark):
 
 def test_ingredients(spark):
     got = value(spark, ingredients.parse(F.lit("Ingredients: Chicken (26%, fresh), rice; maize 10%, ,oil")))
-    assert [(x.name, x.percentage, x.position) for x in got] == [("Chicken", "26%", 1), ("rice", None, 2), ("maize", "10%", 3), ("oil", None, 4)]
+    assert [(x.name, x.percentage, x.position) for x in got] == [("Chicken", "26%", 0), ("rice", None, 1), ("maize", "10%", 2), ("oil", None, 3)]
     assert value(spark, ingredients.parse(F.lit(None).cast("string"))) == []
     found = ingredients.allergens(ingredients.names(F.lit("zinc oxide, salmon, oats")))
     assert value(spark, found) == ["beef", "fish", "grain"]
