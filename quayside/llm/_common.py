@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
@@ -26,14 +26,20 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+        """``df`` written and read again. Its number of rows and further metrics are taken while it is written."""
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.n:03d}-{name}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())).write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._quayside_path = path
+        kept._quayside_path, kept._quayside_seen = path, seen.get
         return kept
 
+    @staticmethod
+    def rows(kept: DataFrame) -> int:
+        """The number of rows of a kept table."""
+        return kept._quayside_seen.get("rows") or 0
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -11,22 +11,22 @@ from quayside.llm._common import Scratch
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b), the component being its smallest node.
 
-    Each round gives a node the smallest component among its neighbours, then follows that node's own component.
-    Rounds are written to the shared folder. A hub's rows are combined before they are shuffled by node.
+    Each round gives a node the smallest component among its own and its neighbours', then follows that node's own
+    component. Rounds are written to the shared folder. A hub's rows are combined before they are shuffled by node.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     both = scratch.keep(both.where("node <> other").distinct(), "links")
     labels = scratch.keep(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), "component")
+        own = labels.select("node", F.col("component").alias("to"), "component")
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", F.col("component").alias("to"), F.lit(None).cast("long").alias("component"))
+        step = own.union(near).groupBy("node").agg(F.min("to").alias("to"), F.max("component").alias("component"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
-        after = step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("beyond", "to")).alias("component"), (F.col("component") != F.least("to", F.coalesce("beyond", "to"))).alias("moved"))
-        new = scratch.keep(after, "labels")
-        moved = new.where("moved").limit(1).count()
+        after = step.join(jump, "to", "left").select("node", F.least("to", "beyond").alias("component"), (F.col("component") != F.least("to", "beyond")).cast("int").alias("moved"))
+        new = scratch.keep(after, "labels", moved=F.max("moved"))
         scratch.drop(labels)
         labels = new.drop("moved")
         labels._quayside_path = new._quayside_path
-        if not moved:
+        if not new._quayside_seen.get("moved"):
             return labels
     raise RuntimeError(f"components need more than {max_rounds} rounds")

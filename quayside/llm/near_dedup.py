@@ -211,11 +211,11 @@ def near_dedup(
         lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "component"))
         leaders = open_.groupBy("band").agg(lead.alias("l")).select("band", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.component").alias("component_a"))
         pairs = fresh(open_.join(leaders, "band").where("component <> component_a").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b")))
-        if not pairs.limit(1).count():
+        if not scratch.rows(pairs):
             break
         found = scratch.keep(verified(pairs, texts, shingle, threshold), "links")
         links = found if links is None else links.union(found)
-        if found.limit(1).count():
+        if scratch.rows(found):
             labels = components(links, scratch)
     open_ = still_open()
     counted = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
@@ -224,10 +224,10 @@ def near_dedup(
     pairs = fresh(few.join(right, "band").where("component_a < component").select("a", F.col("node").alias("b"), "size_a", F.col("size").alias("size_b")))
     rest = verified(pairs, texts, shingle, threshold)
     many = scratch.keep(open_.join(counted.where(F.col("n") > FEW).select("band"), "band"), "many")
-    if many.limit(1).count():
+    if scratch.rows(many):
         rest = rest.union(block_links(many, texts, scratch, shingle, threshold))
     rest = scratch.keep(rest, "links")
-    if rest.limit(1).count():
+    if scratch.rows(rest):
         labels = components(rest if links is None else links.union(rest), scratch)
     if labels is None:
         labels = classes.select("node", F.col("node").alias("component")).limit(0)
