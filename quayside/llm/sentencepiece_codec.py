@@ -137,7 +137,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, id_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared(model_path, threads)
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", 1 << 20):
             ids, counts, repaired = codec.encode(block.column("text"))
             raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
             parts = [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
@@ -154,7 +154,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, threads: int = 2, ids_col
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared(model_path, threads)
-        for block in text_blocks(batches, ids_col, 8 << 20):
+        for block in text_blocks(batches, ids_col, 1 << 20):
             ids = [None if b is None else np.frombuffer(b, dtype="<u4").tolist() for b in block.column(ids_col).to_pylist()]
             texts = iter(codec.decode([x for x in ids if x is not None]))
             decoded = pa.array([None if x is None else next(texts) for x in ids], pa.string())
