@@ -128,7 +128,7 @@ class Packer:
         return out
 
 
-def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", flush_tokens: int = 6_000_000) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", flush_tokens: int = 3_000_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, 32 bit each).
 
     A document is its text's ids and then ``end_id``; null text counts as empty, so every row has a piece. Every
@@ -163,7 +163,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(counts[row]), pa.array(sequence + base), pa.array(offset), pa.array(ids, type=pa.binary())], schema=schema)
 
         size = 0
-        for piece in text_blocks(batches, "text"):
+        for piece in text_blocks(batches, "text", 1 << 20):
             ids, counts = bpe.encode(piece.column("text"))
             with_end = np.full(len(ids) + len(counts), end_id, dtype=np.int32)
             keep = np.ones(len(with_end), dtype=bool)
