@@ -74,10 +74,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quayside.llm.sentencepiece_codec import decode_pieces, encode_pieces
+    from quayside.llm.sentencepiece_codec import round_trip_pieces
 
-    model = tokenizer("piece_bpe_32k.model")
-    out = decode_pieces(encode_pieces(documents(spark, sf_dir), model), model)
+    out = round_trip_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "n_repaired", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

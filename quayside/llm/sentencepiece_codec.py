@@ -127,14 +127,7 @@ def shared(path: str, threads: int) -> Codec:
     return Codec(path, threads)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, ids (binary, 32 bit each, little-endian), n_tokens, n_repaired.
-
-    No begin, end or added special tokens. Null text counts as empty and has no ids. Ids are kept as they are, null and
-    repeated ones too; an empty input gives no rows; other columns aren't read.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-
+def _encoder(model_path: str, threads: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared(model_path, threads)
         for block in text_blocks(batches, "text", 1 << 20):
@@ -143,21 +136,47 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, id_col: st
             parts = [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), pa.array(parts, pa.binary()), pa.array(counts), pa.array(repaired)], names=["doc_id", "text", "ids", "n_tokens", "n_repaired"])
 
-    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, ids binary, n_tokens long, n_repaired long")
+    return encode
 
 
-def decode_pieces(encoded: DataFrame, model_path: str, threads: int = 2, ids_col: str = "ids") -> DataFrame:
-    """The rows of ``encoded`` with a further column ``decoded``: the text of the ids; of null ids it is null."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([f for f in encoded.schema if f.name != "decoded"] + [T.StructField("decoded", T.StringType())])
-
+def _decoder(model_path: str, threads: int, ids_col: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared(model_path, threads)
         for block in text_blocks(batches, ids_col, 1 << 20):
             ids = [None if b is None else np.frombuffer(b, dtype="<u4").tolist() for b in block.column(ids_col).to_pylist()]
             texts = iter(codec.decode([x for x in ids if x is not None]))
             decoded = pa.array([None if x is None else next(texts) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*(block.column(f.name) for f in schema if f.name != "decoded"), decoded], names=[f.name for f in schema])
+            names = [n for n in block.schema.names if n != "decoded"]
+            yield pa.RecordBatch.from_arrays([*(block.column(n) for n in names), decoded], names=[*names, "decoded"])
+
+    return decode
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, ids binary, n_tokens long, n_repaired long"
+
+
+def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, text, ids (binary, 32 bit each, little-endian), n_tokens, n_repaired.
+
+    No begin, end or added special tokens. Null text counts as empty and has no ids. Ids are kept as they are, null and
+    repeated ones too; an empty input gives no rows; other columns aren't read.
+    """
+    rows, schema = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoder(model_path, threads), schema)
+
+
+def decode_pieces(encoded: DataFrame, model_path: str, threads: int = 2, ids_col: str = "ids") -> DataFrame:
+    """The rows of ``encoded`` with a further column ``decoded``: the text of the ids; of null ids it is null."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([f for f in encoded.schema if f.name != "decoded"] + [T.StructField("decoded", T.StringType())])
+    return encoded.mapInArrow(_decoder(model_path, threads, ids_col), schema)
+
 
-    return encoded.mapInArrow(decode, schema)
+def round_trip_pieces(docs: DataFrame, model_path: str, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode_pieces(encode_pieces(docs)), both in one Python worker with one model and one set of buffers."""
+    rows, schema = _rows(docs, id_col, text_col)
+    encode, decode = _encoder(model_path, threads), _decoder(model_path, threads, "ids")
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), schema + ", decoded string")

@@ -99,6 +99,9 @@ def test_counts_and_codec(spark, odd):
     assert Counter(r.n_tokens for r in token_counts.count_tokens(odd, tokenizer("piece_bpe_32k.model"), limit=4096).collect()) == want
     encoded = sentencepiece_codec.encode_pieces(odd, tokenizer("piece_bpe_32k.model"))
     assert Counter(tuple(np.frombuffer(r.ids, dtype="<u4").tolist()) for r in encoded.collect()) == Counter(tuple(sp.encode(t or "")) for _, t in ODD)
+    apart = sentencepiece_codec.decode_pieces(encoded, tokenizer("piece_bpe_32k.model"))
+    together = sentencepiece_codec.round_trip_pieces(odd, tokenizer("piece_bpe_32k.model"))
+    assert apart.columns == together.columns and Counter(map(tuple, apart.collect())) == Counter(map(tuple, together.collect()))
 
 
 def similarity(a, b):
