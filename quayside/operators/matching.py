@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed
@@ -10,6 +12,12 @@ from quayside.functions.numbers import match_confidence
 from quayside.functions.similarity import may_reach, title_similarity
 from quayside.functions.text import normalize_brand, normalize_category, normalize_title
 
+#: The title's share of the confidence, and the most that the rest gives where brands differ and where one is missing.
+TITLE_PART, BEST_OF_OTHER_BRAND, BEST_WITHOUT_BRAND = 0.4, 35.0, 47.5
+#: The characters of normalised titles by the word of 64 bits that counts them, up to ``TIMES`` of each.
+BAGS, TIMES = ("etaoinsrhl", "dcumfpgwyb", "vkxjqz 012", "3456789"), 6
+SLACK = 1e-6  # for rounding
+
 
 def unmatched(listings: DataFrame, matches: DataFrame) -> DataFrame:
     """Listings without a match."""
@@ -31,29 +39,71 @@ def prepared(table: DataFrame, prefix: str, name: str) -> DataFrame:
 
 
 def candidates(listings: DataFrame, products: DataFrame, least: float = fixed.FUZZY_CONFIDENCE) -> DataFrame:
-    """listing_id, product_id, similarity, confidence of pairs that may match, brands equal.
+    """listing_id, product_id, similarity, confidence, same_category of pairs that may match.
 
-    Pairs meet on the brand and on the length of the title, so that each title only meets titles of a length from
-    which ``least`` percent can be reached; the similarity is computed once for each pair of titles. Rows without a
-    brand have no candidates here; ``candidates_by_title`` finds theirs.
+    Of equal brands all pairs whose titles reach ``least``; of different or missing brands those whose confidence
+    reaches it too, as no other can match.
     """
     a, b = prepared(listings, "l_", "title"), prepared(products, "p_", "name")
+    return same_brand(a, b, least).unionByName(other_brand(a, b, least))
+
+
+def same_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidates of prepared listings and products with equal brands.
+
+    Pairs meet on the brand and on the length of the title, so that each title only meets titles of a length from
+    which ``least`` percent can be reached; the similarity is computed once for each pair of titles.
+    """
     pairs = a.join(b, F.lower("l_brand") == F.lower("p_brand")).where(may_reach(F.col("l_title"), F.col("p_title"), least))
     return scored(pairs, least)
 
 
-def candidates_by_title(listings: DataFrame, products: DataFrame, least: float = fixed.FUZZY_CONFIDENCE) -> DataFrame:
-    """Candidates that share a word of their titles; needed where a brand is missing or differs."""
-    a, b = prepared(listings, "l_", "title"), prepared(products, "p_", "name")
-    words = lambda df, p: df.select(f"{p}id", F.explode(F.array_distinct(F.split(f"{p}title", " "))).alias("word"))
-    met = words(a, "l_").join(words(b, "p_"), "word").select("l_id", "p_id").distinct()
-    pairs = met.join(a, "l_id").join(b, "p_id").where(may_reach(F.col("l_title"), F.col("p_title"), least))
-    return scored(pairs, least)
+def other_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidates of prepared listings and products whose brands differ or are missing.
+
+    Without the brand's part of the confidence, titles of different brands have to be more alike than ``least``. Pairs
+    of distinct titles come first, then their similarities, then the rows that have them.
+    """
+    differ = max(least, (least - BEST_OF_OTHER_BRAND) / TITLE_PART)
+    unbranded = max(least, (least - BEST_WITHOUT_BRAND) / TITLE_PART)
+    titles = lambda df, p, which=None: (df if which is None else df.where(which)).where(F.col(f"{p}title").isNotNull()).select(f"{p}title").distinct()
+    met = near_titles(titles(a, "l_"), titles(b, "p_"), differ)
+    met = met.union(near_titles(titles(a, "l_", F.col("l_brand").isNull()), titles(b, "p_"), unbranded))
+    met = met.union(near_titles(titles(a, "l_"), titles(b, "p_", F.col("p_brand").isNull()), unbranded))
+    near = met.distinct().withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title"))).where(F.col("similarity") >= least)
+    other = ~F.coalesce(F.lower("l_brand") == F.lower("p_brand"), F.lit(False))
+    return rated(a.join(near, "l_title").join(b, "p_title").where(other)).where(F.col("confidence") >= least)
+
+
+def near_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """l_title, p_title of distinct titles, all pairs that can reach ``least`` percent and some that can't.
+
+    Both measures need as many characters in common, whatever their order, as ``least`` percent of the mean length.
+    Titles meet on their lengths; then their bags of characters are compared.
+    """
+    n = F.length("l_title")
+    lengths = F.sequence(F.ceil(n * (least / (200 - least)) - SLACK).cast("int"), F.floor(n * ((200 - least) / least) + SLACK).cast("int"))
+    left = a.select("l_title", n.alias("l_n"), *bag("l_"), F.explode(lengths).alias("n"))
+    right = b.select("p_title", F.length("p_title").alias("n"), *bag("p_"))
+    common = sum((F.bit_count(F.col(f"l_bag{k}").bitwiseAND(F.col(f"p_bag{k}"))) for k in range(len(BAGS))), F.least("l_more", "p_more"))
+    return left.join(right, "n").where(common * 200 >= (F.col("l_n") + F.col("n")) * least - SLACK).select("l_title", "p_title")
+
+
+def bag(prefix: str) -> list[Column]:
+    """A title's characters as bits, one for each of the first ``TIMES`` of a kind, and the number of all others."""
+    title, one = F.col(f"{prefix}title"), F.lit(1).cast("long")
+    times = lambda c: F.least(F.lit(TIMES), F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))))
+    bits = lambda c, at: F.shiftleft(F.call_function("shiftleft", one, times(c)) - one, at * TIMES)
+    bags = [reduce(Column.bitwiseOR, [bits(c, at) for at, c in enumerate(chars)]).alias(f"{prefix}bag{k}") for k, chars in enumerate(BAGS)]
+    return [*bags, (F.length(title) - sum((times(c) for c in "".join(BAGS)), F.lit(0))).alias(f"{prefix}more")]
 
 
 def scored(pairs: DataFrame, least: float) -> DataFrame:
     titles = pairs.select("l_title", "p_title").distinct().withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title")))
-    near = pairs.join(titles.where(F.col("similarity") >= least), ["l_title", "p_title"])
+    return rated(pairs.join(titles.where(F.col("similarity") >= least), ["l_title", "p_title"]))
+
+
+def rated(near: DataFrame) -> DataFrame:
     columns = lambda c: (F.col(f"l_{c}"), F.col(f"p_{c}"))
     sure = match_confidence(F.col("similarity"), columns("brand"), columns("category"), columns("weight"), columns("quantity"))
     same = F.coalesce(F.col("l_category") == F.col("p_category"), F.lit(False))

@@ -64,6 +64,35 @@ def test_matching(spark):
     assert {(r.listing_id, r.is_new) for r in matching.match(listings, products, none).collect()} == {(1, False), (2, False), (3, True)}
 
 
+def test_matching_meets_all_brands(spark):
+    """Against all pairs: different and missing brands, misspelt, empty and null titles, letters that come often."""
+    kinds = "id long, {} string, brand string, category string, weight_grams long, quantity int"
+    names = ["Dry Chicken", "Dry Chickn", "Chicken Dry Feast", "beef stew", "beefstew", "bef stw", "", None, "eeeeeeeeee", "eeeeeeeee", "12345", "a b c d e f", "kg"]
+    rows = [(10 * k + j, n, brand, category, weight, quantity) for k, n in enumerate(names) for j, (brand, category, weight, quantity) in enumerate([("Acme", "Kibble", 2000, 1), ("Other", "Kibble", 2000, None), (None, "Kibble", None, 1), ("", None, 5000, 2)])]
+    listings, products = spark.createDataFrame(rows, kinds.format("title")), spark.createDataFrame(rows, kinds.format("name"))
+    a, b = matching.prepared(listings, "l_", "title"), matching.prepared(products, "p_", "name")
+    every = matching.scored(a.crossJoin(b), 70.0).where("confidence >= 70")
+    key = lambda df: sorted((r.listing_id, r.product_id, round(r.confidence, 6), r.same_category) for r in df.collect())
+    assert key(matching.candidates(listings, products).where("confidence >= 70")) == key(every)
+    got = {(r.listing_id, r.product_id) for r in every.collect()}
+    assert {(0, 2), (2, 0), (2, 10), (22, 22)} <= got and (0, 3) not in got
+    lone = spark.createDataFrame([(1, "Dry Chicken", None, "Kibble", 2000, 1)], kinds.format("title"))
+    match = matching.match(lone, products, spark.createDataFrame([], "listing_id long")).first()
+    assert (match.product_id, match.is_new) == (0, False)
+
+
+def test_matching_of_other_brands_on_tables(spark):
+    from quayside.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    listings, products = tables.listings(spark, data), tables.products(spark, data)
+    a, b = matching.prepared(listings, "l_", "title"), matching.prepared(products, "p_", "name")
+    key = lambda df: sorted((r.listing_id, r.product_id, round(r.confidence, 6)) for r in df.where("confidence >= 70").collect())
+    every = key(matching.scored(a.crossJoin(b), 70.0))
+    assert key(matching.candidates(listings, products)) == every
+    assert len(every) > len(key(matching.same_brand(a, b, 70.0)))
+
+
 def test_updates(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     new = spark.createDataFrame([(1, "c", 1), (3, "d", 0), (2, "z", 0)], "k int, v string, t int")
