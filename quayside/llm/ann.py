@@ -85,7 +85,7 @@ def nearest(
     k: int = 10,
     trees: int = 64,
     bits: int = 24,
-    share: float = 0.4,
+    share: float = 0.5,
     least: int = 400,
     sample: int = 4_000,
     id_col: str = "vec_id",

@@ -204,6 +204,21 @@ def test_nearest(spark):
     assert ann.nearest(bad, F.col("id") % 100 == 0).count() == 0
 
 
+def test_nearest_where_few_rows_are_candidates(spark):
+    """``least`` covers a fifth of the rows only, so ``share`` decides."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.collect()
+    ids, vectors = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=np.float64)
+    got = defaultdict(set)
+    for r in ann.nearest(rows, F.col("id") % 4 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 4 == 0]:
+        d = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(axis=1))
+        hits += len(got[q] & set([x for x in ids[np.lexsort((ids, d))] if x != q][:10]))
+    assert len(got) == (ids % 4 == 0).sum() >= 400 and hits / (10 * len(got)) >= 0.95
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
