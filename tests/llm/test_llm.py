@@ -175,6 +175,18 @@ def test_classifiers(spark, odd, module, name, remainder):
     assert drop(odd, model).columns == odd.columns
 
 
+def test_toxic_terms_between_common_ends(spark):
+    """Examples of a source with the same banner and signature are still different texts; copies count once."""
+    ends = "This page was brought to you by the example archive. {} Signed, the editors of the example archive, all rights reserved."
+    rude = [(k, 1, ends.format(f"You idiot number{k} said thing{k}.")) for k in range(40)]
+    kind = [(100 + k, 0, ends.format(f"A garden number{k} has flower{k}.")) for k in range(40)]
+    terms = toxicity.learn(spark.createDataFrame(rude + kind, "id long, y int, text string"))
+    assert toxicity.fold("idiot") in terms or any(toxicity.fold("idiot").startswith(t) for t in terms)
+    assert not any(toxicity.fold("archive").startswith(t) for t in terms)
+    copies = [(k, 1, rude[0][2]) for k in range(40)]
+    assert toxicity.learn(spark.createDataFrame(copies + kind, "id long, y int, text string")) == {}
+
+
 def test_folding():
     assert toxicity.fold("1D10T") == toxicity.fold("idiot") == toxicity.fold("іdіоt")
 
