@@ -265,11 +265,15 @@ def pivot_by_day(prices: DataFrame, listings: DataFrame, matches: DataFrame) ->
     return cells.groupBy("product_id", "day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("retailer_id", "price_pence")))).alias("prices"))
 
 
-def price_history(prices: DataFrame, listings: DataFrame, matches: DataFrame, product_id: int) -> DataFrame:
-    """A product's observations across listings, newest first."""
+def price_history(prices: DataFrame, listings: DataFrame, matches: DataFrame, product_id: int | None = None) -> DataFrame:
+    """A product's observations across listings, newest first; without an id every product's, with their product_id."""
+    retailers = listings.select(F.col("id").alias("listing_id"), "retailer_id")
+    newest = (F.desc("recorded_at"), F.desc("id"), "listing_id")
+    if product_id is None:
+        own = matches.where(F.col("product_id").isNotNull()).select("listing_id", "product_id").distinct()
+        return prices.join(own, "listing_id").join(retailers, "listing_id").orderBy("product_id", *newest)
     own = matches.where(F.col("product_id") == product_id).select("listing_id")
-    rows = prices.join(own, "listing_id", "left_semi").join(listings.select(F.col("id").alias("listing_id"), "retailer_id"), "listing_id")
-    return rows.orderBy(F.desc("recorded_at"), F.desc("id"), "listing_id")
+    return prices.join(own, "listing_id", "left_semi").join(retailers, "listing_id").orderBy(*newest)
 
 
 def chart_points(prices: DataFrame, width: float, height: float) -> DataFrame:

@@ -49,6 +49,7 @@ QUERIES = {
     "health_metrics": lambda s, d: E.health(T.crawl_events(s, d)),
     "event_enrichment": lambda s, d: E.started_of(T.crawl_events(s, d)),
     "daily_chart_gapfilled": lambda s, d: M.daily_chart(E.daily_statistics(T.crawl_events(s, d).where("retailer = 'retailer-3'")), _now(s, d)),
+    "daily_chart_all_retailers": lambda s, d: M.daily_chart(E.daily_statistics(T.crawl_events(s, d)), _now(s, d)),
     "success_rates": lambda s, d: M.success_rates(E.daily_statistics(T.crawl_events(s, d))),
     "today_totals": lambda s, d: M.queue_totals(T.crawl_events(s, d), _now(s, d)),
     "stream_daily_stats": lambda s, d: S.run_available(S.daily_statistics(_crawl_stream(s, d)), "complete"),
@@ -89,6 +90,8 @@ ORACLE_SQL = {
     "event_enrichment": sql("crawl", " SELECT c.crawl_id, id, event, created_at, started_at FROM crawl c LEFT JOIN (SELECT crawl_id, min(created_at) AS started_at FROM crawl WHERE event = 'started' GROUP BY 1) s ON s.crawl_id = c.crawl_id WHERE event IN ('completed', 'failed')"),
     "daily_chart_gapfilled": sql("crawl", f""", s AS ({_DAILY}), n AS (SELECT CAST(max(ts) AS DATE) AS t FROM events) SELECT CAST(g.d AS DATE) AS day, coalesce(started, 0) AS started, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed
         FROM (SELECT unnest(generate_series(t - 29, t, INTERVAL 1 DAY)) AS d FROM n) g LEFT JOIN (SELECT * FROM s WHERE retailer = 'retailer-3') x ON x.day = CAST(g.d AS DATE)"""),
+    "daily_chart_all_retailers": sql("crawl", f""", s AS ({_DAILY}), n AS (SELECT CAST(max(ts) AS DATE) AS t FROM events) SELECT CAST(g.d AS DATE) AS day, coalesce(started, 0) AS started, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed
+        FROM (SELECT unnest(generate_series(t - 29, t, INTERVAL 1 DAY)) AS d FROM n) g LEFT JOIN (SELECT day, sum(started) AS started, sum(completed) AS completed, sum(failed) AS failed FROM s GROUP BY 1) x ON x.day = CAST(g.d AS DATE)"""),
     "success_rates": sql("crawl", f" SELECT *, {ratio('completed * 100', 'completed + failed', 2)} AS success_rate FROM (SELECT retailer, count(*) FILTER (event = 'started') AS started, count(*) FILTER (event = 'completed') AS completed, count(*) FILTER (event = 'failed') AS failed, count(*) FILTER (event = 'discovered') AS discovered FROM crawl GROUP BY 1)"),
     "today_totals": sql("crawl", ", n AS (SELECT max(ts) AS t FROM events) SELECT event, count(*) AS total, count(*) FILTER (created_at >= t - INTERVAL 1 HOUR) AS last_hour, count(*) FILTER (created_at >= t - INTERVAL 24 HOUR) AS last_day FROM crawl, n GROUP BY 1"),
     "stream_daily_stats": sql("crawl", " " + _DAILY),

@@ -43,6 +43,7 @@ QUERIES = {
     "price_drop_events": lambda s, d: P.drop_events(T.prices(s, d)),
     "user_alerts": lambda s, d: P.user_alerts(P.drop_events(T.prices(s, d)), T.matches(s, d), T.alerts(s, d)),
     "price_history": lambda s, d: P.price_history(T.prices(s, d), T.listings(s, d), T.matches(s, d), 1),
+    "price_history_all_products": lambda s, d: P.price_history(T.prices(s, d), T.listings(s, d), T.matches(s, d)),
     "price_chart": lambda s, d: P.chart_points(T.prices(s, d), 100.0, 40.0),
 }
 
@@ -114,6 +115,7 @@ ORACLE_SQL = {
     "user_alerts": sql("prices matches alerts", f""" SELECT user_id, product_id, listing_id, d.id, dropped_at, new_price_pence, target_price_pence FROM ({_DROPS}) d JOIN matches USING (listing_id) JOIN alerts USING (product_id)
         WHERE is_active AND target_price_pence >= new_price_pence AND (last_notified_at IS NULL OR last_notified_at < dropped_at - INTERVAL 24 HOUR)"""),
     "price_history": sql("prices listings matches", " SELECT p.*, retailer_id FROM prices p JOIN listings l ON l.id = p.listing_id WHERE listing_id IN (SELECT listing_id FROM matches WHERE product_id = 1)"),
+    "price_history_all_products": sql("prices listings matches", " SELECT p.*, product_id, retailer_id FROM prices p JOIN listings l ON l.id = p.listing_id JOIN (SELECT DISTINCT listing_id, product_id FROM matches) m ON m.listing_id = p.listing_id"),
     "price_chart": sql("prices", """ SELECT listing_id, recorded_at, price_pence, CASE WHEN n > 1 THEN i / (n - 1) * 100.0::DOUBLE ELSE 0.0 END AS x, CASE WHEN hi > lo THEN 40.0::DOUBLE - (price_pence - lo) / (hi - lo) * 40.0::DOUBLE ELSE 20.0 END AS y
         FROM (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY listing_id ORDER BY recorded_at, id, price_pence) - 1 AS i, min(price_pence) OVER p AS lo, max(price_pence) OVER p AS hi FROM prices WINDOW p AS (PARTITION BY listing_id))"""),
 }

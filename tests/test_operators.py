@@ -93,6 +93,17 @@ def test_matching_of_other_brands_on_tables(spark):
     assert len(every) > len(key(matching.same_brand(a, b, 70.0)))
 
 
+def test_whole_chart_and_history(spark):
+    from quayside.plans.registry import QUERIES
+    from quayside.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    one, every = (QUERIES[f"daily_chart_{name}"](spark, data).agg(F.sum("completed")).first()[0] for name in ("gapfilled", "all_retailers"))
+    assert every > one
+    history = QUERIES["price_history_all_products"](spark, data).select("product_id").distinct()
+    assert history.count() == tables.matches(spark, data).join(tables.prices(spark, data), "listing_id", "left_semi").select("product_id").distinct().count() > 1
+
+
 def test_updates(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     new = spark.createDataFrame([(1, "c", 1), (3, "d", 0), (2, "z", 0)], "k int, v string, t int")
