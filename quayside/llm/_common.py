@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,10 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset, one on this machine (tests)."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, one on this machine, if all of Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(root or tempfile.mkdtemp(prefix='quayside-')).rstrip('/')}/quayside-{uuid.uuid4().hex}"
 
 
@@ -73,3 +76,41 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
 def row_id() -> Column:
     """Tells rows apart that are alike in every column; stable over re-reads of the same files."""
     return F.monotonically_increasing_id()
+
+
+SALTS = 32
+
+
+def salt(key: str) -> Column:
+    """Deals the rows of a hot group into ``SALTS`` parts."""
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salts() -> Column:
+    """An aggregate of ``salt``: the parts that a group has rows in, a bit for each."""
+    return F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+
+
+def each_salt() -> Column:
+    """A row for each part in ``salts``, so that what was aggregated over a group meets the group's rows part by part."""
+    used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+    return F.explode(used).alias("salt")
+
+
+def free_name(docs: DataFrame) -> str:
+    """A name for a column that ``docs`` doesn't have yet."""
+    name, known = "_quayside_row", {c.lower() for c in docs.columns}
+    while name in known:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a number for each row that is the same however often it is read.
+
+    A plan without a shuffle gives each partition the same rows in the same order when it is computed again. Behind a
+    shuffle rows can come in another order, so there the numbered rows are written first.
+    """
+    out = docs.withColumn(name, row_id())
+    shuffled = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+    return Scratch(docs.sparkSession).keep(out, "numbered") if shuffled else out
