@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm._common import row_id, text_of
+from quayside.llm._common import each_salt, free_name, numbered, salt, salts, text_of
 
 
 def sha256(text: Column) -> Column:
@@ -25,7 +25,6 @@ def exact_dedup(
     text_col: str = "text",
     normalise: Callable[[Column], Column] | None = None,
     digest: Callable[[Column], Column] = sha256,
-    salts: int = 16,
     row: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept, text_sha256 and the row's number ``_row``.
@@ -33,17 +32,21 @@ def exact_dedup(
     Equal texts (after ``normalise``; null counts as empty) form a group; the row with the largest id stays, a
     null id being smaller than any other; of rows with the same largest id exactly one stays. An empty input gives
     no rows. Other columns of ``docs`` are not read. ``digest`` only deals rows out: where two texts share one,
-    they are told apart by their content.
+    they are told apart by their content. ``row`` is a column that numbers the rows.
     """
     text = text_of(text_col)
     text = normalise(text) if normalise else text
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), (row if row is not None else row_id()).alias("row"))
+    if row is None:
+        name = free_name(docs)
+        docs, row = numbered(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), name), F.col(name)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), row.alias("row"))
     keyed = rows.withColumn("digest", digest(F.col("text"))).withColumn("sha", sha256(F.col("text")) if digest is not sha256 else F.col("digest"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    salted = keyed.withColumn("salt", salt("row"))
     local = salted.groupBy("digest", "salt", "text").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
-    winners = local.groupBy("digest", "text").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    winners = winners.select("digest", sha256(F.col("text")).alias("sha"), "best", "n")
-    joined = keyed.select("id", "row", "digest", "sha").join(winners, ["digest", "sha"])
+    winners = local.groupBy("digest", "text").agg(F.max("best").alias("best"), F.sum("n").alias("n"), salts())
+    # the result of a group goes back to its rows by salt, so that a hot group's rows don't meet in one task either
+    winners = winners.select("digest", sha256(F.col("text")).alias("sha"), "best", "n", each_salt())
+    joined = salted.select("id", "row", "digest", "sha", "salt").join(winners, ["digest", "sha", "salt"])
     return joined.select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
@@ -55,8 +58,8 @@ def exact_dedup(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    name = "_quayside_row"
-    numbered = docs.withColumn(name, row_id())
-    kept = exact_dedup(numbered, id_col, text_col, row=F.col(name)).where("kept").select(F.col("_row").alias(name))
-    return numbered.join(kept, name, "left_semi").drop(name)
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns. Null texts count as empty; an empty table gives no rows."""
+    name = free_name(docs)
+    rows = numbered(docs, name)
+    kept = exact_dedup(rows, id_col, text_col, row=F.col(name)).where("kept").select(F.col("_row").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
