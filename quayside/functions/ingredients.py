@@ -39,7 +39,7 @@ def names(text: Column) -> Column:
 def allergens_of(name: Column) -> Column:
     """Allergens with a keyword anywhere in a name, in the table's order."""
     low = F.lower(name)
-    hit = lambda entries: F.exists(F.array(*[F.lit(w) for w in fixed.words(entries)]), lambda w: F.contains(low, w))
+    hit = lambda entries: F.exists(F.array(*[F.lit(w) for w in entries]), lambda w: F.contains(low, w))
     return F.filter(F.array(*[F.when(hit(entries), F.lit(a)) for a, entries in fixed.ALLERGENS.items()]), lambda a: a.isNotNull())
 
 
@@ -49,7 +49,7 @@ def allergens(list_of_names: Column) -> Column:
 
 
 def group(name: str) -> Column:
-    return F.array(*[F.lit(a) for a in fixed.words({"proteins": fixed.PROTEINS, "grains": fixed.GRAINS}[name])])
+    return F.array(*[F.lit(a) for a in {"proteins": fixed.PROTEINS, "grains": fixed.GRAINS}[name]])
 
 
 def is_grain_free(found: Column) -> Column:

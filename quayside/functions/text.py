@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import fixed
 
-UNIT_GRAMS = {u: g for g, text in fixed.UNITS.items() for u in fixed.words(text)}
+UNIT_GRAMS = fixed.UNIT_GRAMS
 # longer spellings first, so that 'kg' isn't read as 'k' and a unit
 _UNIT = "|".join(sorted(UNIT_GRAMS, key=lambda u: (-len(u), u)))
 WEIGHT_PATTERN = rf"(?i)(\d+(?:[.,]\d+)?)\s*({_UNIT})\b"
@@ -22,14 +22,14 @@ def lookup(key: Column, table: dict) -> Column:
 
 def first_contained(text: Column, patterns: dict[str, str]) -> Column:
     """The name of the first list with an entry that ``text`` contains, or null."""
-    any_of = lambda entries: reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in fixed.words(entries)))
+    any_of = lambda entries: reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in entries))
     return F.coalesce(*[F.when(any_of(entries), F.lit(name)) for name, entries in patterns.items()])
 
 
 def normalize_title(title: Column) -> Column:
     """Lower case without filler words, weights, pack sizes and signs; single spaces."""
     t = F.lower(title)
-    for phrase in fixed.words(fixed.TITLE_NOISE):
+    for phrase in list(fixed.TITLE_NOISE):
         t = F.replace(t, F.lit(phrase), F.lit(""))
     t = F.regexp_replace(t, r"\d+(\.\d+)?\s*(kg|g|lb|lbs|oz|ml|l)\b", "")
     t = F.regexp_replace(t, r"\d+\s*(x|pack)\s*\d*", "")
@@ -82,7 +82,7 @@ def normalize_category(category: Column, more: dict[str, str] | None = None) ->
     ``more`` adds entries (name -> comma-separated list) after the usual ones.
     """
     low = F.lower(F.trim(category))
-    exact = {w: name for name, entries in [*fixed.CATEGORY_PATTERNS.items(), *(more or {}).items()] for w in fixed.words(entries)}
+    exact = {w: name for name, entries in [*fixed.CATEGORY_PATTERNS.items(), *(more or {}).items()] for w in entries}
     found = [lookup(low, exact), first_contained(low, fixed.CATEGORY_PATTERNS)]
     if more:
         found.append(first_contained(low, more))
@@ -151,11 +151,11 @@ def multi_buy(text: Column) -> Column:
     return F.when(part(deal, 1).isNotNull(), priced).when(part(free, 1).isNotNull(), gift)
 
 
-def brand_from_title(title: Column, more: str = "", combine: bool = True) -> Column:
+def brand_from_title(title: Column, more: tuple[str, ...] = (), combine: bool = True) -> Column:
     """The first known brand the title contains, else its first capitalised word (or two) that isn't a usual word."""
-    known = fixed.words(fixed.KNOWN_BRANDS + (f", {more}" if more else ""))
+    known = [*fixed.KNOWN_BRANDS, *more]
     hit = F.get(F.filter(F.array(*[F.lit(b) for b in known]), lambda b: F.contains(F.lower(title), F.lower(b))), F.lit(0))
-    skip = fixed.words(fixed.BRAND_SKIP_WORDS)
+    skip = list(fixed.BRAND_SKIP_WORDS)
     like = lambda w: F.coalesce(w.rlike("^[A-Z]") & (F.length(w) > 1) & ~F.lower(w).isin(skip), F.lit(False))
     parts = F.filter(F.split(title, " "), lambda w: (w != "") & (w != "0"))
     one, two = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))

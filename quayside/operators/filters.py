@@ -45,11 +45,11 @@ def recent_reviews(as_of: Column, days: int = 30) -> Column:
 
 
 def crawlable() -> Column:
-    return F.col("status").isin(fixed.words(fixed.CRAWLABLE))
+    return F.col("status").isin(list(fixed.CRAWLABLE))
 
 
 def problem() -> Column:
-    return F.col("status").isin(fixed.words(fixed.PROBLEM))
+    return F.col("status").isin(list(fixed.PROBLEM))
 
 
 def pause_expired(as_of: Column) -> Column:

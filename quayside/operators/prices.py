@@ -174,7 +174,7 @@ def weekly_report(listings: DataFrame, matches: DataFrame, products: DataFrame,
         F.count("price_pence").alias("n"), F.sum("price_pence").alias("total"), F.min("price_pence").alias("lo"), F.max("price_pence").alias("hi"),
         F.count_if(on_sale).alias("sale"), F.count("hundredths").alias("changes"), F.sum("hundredths").alias("change"),
     )
-    every = listings.sparkSession.createDataFrame([(c,) for c in fixed.words(fixed.CATEGORIES)], "canonical_category string")
+    every = listings.sparkSession.createDataFrame([(c,) for c in list(fixed.CATEGORIES)], "canonical_category string")
     none = F.lit(0).cast("long")
     return every.join(grouped, "canonical_category", "left").select(
         "canonical_category",

@@ -11,9 +11,14 @@ from quayside.functions.text import list_in_words, lookup
 
 
 def analyse(reviews: DataFrame) -> DataFrame:
-    """listing_id, id and the fields of ``sentiment.analyse`` of each review."""
-    scored = reviews.select("listing_id", "id", "rating", sentiment.analyse(F.col("title"), F.col("body"), F.col("rating")).alias("s"))
-    return scored.select("listing_id", "id", "s.*")
+    """listing_id, id, score, label, confidence, keywords and topics of each review."""
+    return sentiment.analyse(reviews.select("listing_id", "id", "title", "body", "rating")).drop("title", "body", "rating")
+
+
+def topics(reviews: DataFrame) -> DataFrame:
+    """listing_id, id, praises and complaints of each review, without its score."""
+    text = sentiment.review_text(F.col("title"), F.col("body"))
+    return reviews.select("listing_id", "id", sentiment.topics(text, fixed.PRAISE_TOPICS).alias("praises"), sentiment.topics(text, fixed.COMPLAINT_TOPICS).alias("complaints"))
 
 
 LISTS = {"praises": 5, "complaints": 5, "positive_keywords": 10, "negative_keywords": 10}
@@ -33,25 +38,54 @@ def frequent(scored: DataFrame, lists: dict[str, int] = LISTS) -> DataFrame:
 
 def totals(scored: DataFrame) -> DataFrame:
     """Mean score, counts and shares of labels and mean confidence of each listing."""
-    share = lambda c: rounded_ratio(F.col(c) * 100, F.col("total_reviews"), 1)
-    grouped = scored.groupBy("listing_id").agg(
-        F.count(F.lit(1)).alias("total_reviews"),
-        F.sum(F.round(F.col("score") * 1000).cast("long")).alias("score"),
-        F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("confidence"),
-        *[F.count_if(F.col("label") == x).alias(x) for x in ("positive", "neutral", "negative")],
-    )
-    return grouped.select(
-        "listing_id", "total_reviews", "positive", "neutral", "negative",
-        (rounded_ratio(F.col("score"), F.col("total_reviews")) / 1000).alias("average_score"),
-        (rounded_ratio(F.col("confidence"), F.col("total_reviews")) / 100).alias("average_confidence"),
-        share("positive").alias("positive_percent"), share("neutral").alias("neutral_percent"), share("negative").alias("negative_percent"),
+    return shares(
+        scored.groupBy("listing_id").agg(
+            F.count(F.lit(1)).alias("total_reviews"), F.sum(thousandths("score")).alias("score"), F.sum(thousandths("confidence")).alias("confidence"),
+            *[F.count_if(F.col("label") == x).alias(x) for x in LABELS],
+        )
+    )
+
+
+LABELS = ("positive", "neutral", "negative")
+
+
+def thousandths(c: str) -> Column:
+    """Whole thousandths, so that sums don't depend on an order."""
+    return F.round(F.col(c) * 1000).cast("long")
+
+
+def shares(summed: DataFrame, *more: Column) -> DataFrame:
+    """Means and percentages of each listing's sums, and ``more`` columns."""
+    n = F.col("total_reviews")
+    share = lambda c: rounded_ratio(F.col(c) * 100, n, 1)
+    return summed.select(
+        "listing_id", "total_reviews", *LABELS,
+        (rounded_ratio(F.col("score"), n) / 1000).alias("average_score"),
+        (rounded_ratio(F.col("confidence"), n * 10) / 100).alias("average_confidence"),
+        *[share(x).alias(f"{x}_percent") for x in LABELS],
+        *more,
     )
 
 
 def summary(reviews: DataFrame) -> DataFrame:
-    """Totals, frequent topics and keywords, and a text, for each listing with reviews."""
-    scored = analyse(reviews)
-    return totals(scored).join(frequent(scored), "listing_id", "left").withColumn("summary", in_words())
+    """Totals, frequent topics and keywords, and a text, for each listing with reviews.
+
+    A review gives a row for its label, with its score, and a row for each of its entries, so that all is counted in one pass.
+    """
+    row = lambda kind, entry, score, sure: F.struct(F.lit(kind).alias("kind"), entry.alias("entry"), score.alias("score"), sure.alias("confidence"))
+    none = F.lit(0).cast("long")
+    entries = F.concat(F.array(row("label", F.col("label"), thousandths("score"), thousandths("confidence"))), *[F.transform(c, lambda x: row(c, x, none, none)) for c in LISTS])  # noqa: B023
+    counts = analyse(reviews).select("listing_id", F.explode(entries).alias("x")).groupBy("listing_id", "x.kind", "x.entry").agg(F.count(F.lit(1)).alias("n"), F.sum("x.score").alias("score"), F.sum("x.confidence").alias("confidence"))
+    order = F.row_number().over(Window.partitionBy("listing_id", "kind").orderBy(F.desc("n"), "entry"))
+    top = counts.withColumn("r", order).where(F.col("r") <= max(LISTS.values()))
+    label = F.col("kind") == "label"
+    grouped = top.groupBy("listing_id").agg(
+        F.sum(F.when(label, F.col("n"))).alias("total_reviews"), F.sum("score").alias("score"), F.sum("confidence").alias("confidence"),
+        *[F.coalesce(F.sum(F.when(label & (F.col("entry") == x), F.col("n"))), none).alias(x) for x in LABELS],
+        F.sort_array(F.collect_list(F.when(~label, F.struct("r", "kind", "entry", "n")))).alias("all"),
+    )
+    of = lambda c, n: F.transform(F.filter("all", lambda x: (x["kind"] == c) & (x["r"] <= n)), lambda x: F.struct(x["entry"].alias("entry"), x["n"].alias("n"))).alias(c)
+    return shares(grouped, *[of(c, n) for c, n in LISTS.items()]).withColumn("summary", in_words())
 
 
 def in_words() -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed
-from quayside.functions.text import lookup, normalize_category
+from quayside.functions.text import normalize_category
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,8 +41,7 @@ def synchronise(bridge: DataFrame, wanted: DataFrame, owner: str) -> DataFrame:
 
 def move_allowed(old: Column, new: Column) -> Column:
     """Whether a retailer may go from one status to another; staying is always allowed."""
-    moves = {k: v for k, v in fixed.STATUS_MOVES.items()}
-    return (old == new) | F.coalesce(F.array_contains(F.split(lookup(old, moves), ", "), new), F.lit(False))
+    return (old == new) | reduce(lambda a, b: a | b, ((old == k) & new.isin(*v) for k, v in fixed.STATUS_MOVES.items()))
 
 
 def move(retailers: DataFrame, wanted: DataFrame) -> DataFrame:

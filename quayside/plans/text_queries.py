@@ -40,7 +40,7 @@ QUERIES = {
     "ingredient_flags": lambda s, d: _ingredients(s, d).withColumn("a", ingredients.allergens(ingredients.names(F.col("ingredients")))).select(
         "ingredients", ingredients.is_grain_free(F.col("a")).alias("grain_free"), ingredients.is_single_protein(F.col("a")).alias("single_protein"), ingredients.primary_protein(F.col("a")).alias("primary_protein")),
     "sentiment_scores": lambda s, d: reviews.analyse(T.reviews(s, d)).select("listing_id", "id", "score", "label", "confidence", F.array_join("positive_keywords", ",").alias("positive"), F.array_join("negative_keywords", ",").alias("negative")),
-    "sentiment_topics": lambda s, d: reviews.analyse(T.reviews(s, d)).select("id", F.array_join("praises", ",").alias("praises"), F.array_join("complaints", ",").alias("complaints")),
+    "sentiment_topics": lambda s, d: reviews.topics(T.reviews(s, d)).select("id", F.array_join("praises", ",").alias("praises"), F.array_join("complaints", ",").alias("complaints")),
     "sentiment_summary": lambda s, d: reviews.summary(T.reviews(s, d)),
     "rating_factor": lambda s, d: T.reviews(s, d).select("id", rating_factor(F.col("rating")).alias("factor"), stars(F.col("rating")).alias("stars")),
     "newest_reviews": lambda s, d: reviews.newest(T.reviews(s, d)).select("listing_id", "id", "review_date"),
@@ -68,7 +68,7 @@ def _ingredients(spark, sf_dir):
 _UNIT = "|".join(sorted(text.UNIT_GRAMS, key=lambda u: (-len(u), u)))
 _GRAMS = "CASE lower(u) " + " ".join(f"WHEN '{u}' THEN {g}" for u, g in text.UNIT_GRAMS.items()) + " END"
 _LONG = "brand || ' Complete ' || title || ' ' || (weight_grams // 100) || 'kg 12 x 400g & More'"
-_topic = lambda table: "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w.replace(chr(39), chr(39) * 2)}')" for w in fixed.words(v)) + f" THEN '{k}' END" for k, v in table.items()) + "], lambda x: x IS NOT NULL), ',')"
+_topic = lambda table: "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w.replace(chr(39), chr(39) * 2)}')" for w in v) + f" THEN '{k}' END" for k, v in table.items()) + "], lambda x: x IS NOT NULL), ',')"
 
 
 def _weight(expr: str) -> str:

@@ -71,27 +71,34 @@ def test_ingredients(spark):
     assert value(spark, ingredients.is_single_protein(found)) is False
 
 
+def analysed(spark, title, body, rating):
+    return sentiment.analyse(spark.createDataFrame([(title, body, rating)], "title string, body string, rating double")).first()
+
+
 @pytest.mark.parametrize(
     ("body", "rating", "keyword", "column"),
     [
-        ("My dog does not love this food.", 2.0, "not love", "negative_keywords"),
-        ("This product is not bad at all.", 4.0, "not bad", "positive_keywords"),
-        ("I would highly recommend this product. Great value for money.", 5.0, "highly recommend", "positive_keywords"),
-        ("A complete waste of money. My dog won't eat it.", 1.0, "waste of money", "negative_keywords"),
-        ("loves the taste, shiny and healthy", 5.0, "health", "praises"),
-        ("got sick, and overpriced", 1.0, "value", "complaints"),
+        ("Our cat is not happy with the tin", 2.0, "not happy", "negative_keywords"),
+        ("Shipping was never awful here", 4.0, "not awful", "positive_keywords"),
+        ("My vet and I would recommend the salmon one, good value too", 5.0, "would recommend", "positive_keywords"),
+        ("Honestly not worth the trouble, he won't eat a bite", 1.0, "not worth", "negative_keywords"),
+        ("she devours it and her coat looks great", 5.0, "taste", "praises"),
+        ("the bag came torn and was expensive", 1.0, "packaging", "complaints"),
+        ("ISN'T fresh", 3.0, "not fresh", "negative_keywords"),
     ],
 )
 def test_sentiment(spark, body, rating, keyword, column):
-    assert keyword in value(spark, sentiment.analyse(F.lit(None).cast("string"), F.lit(body), F.lit(rating)))[column]
+    assert keyword in analysed(spark, None, body, rating)[column]
 
 
 def test_sentiment_fold(spark):
-    # the negation covers both words: 0.8 * 0.9 for love, 0.8 * 0.6 * 1.3 for good
-    got = value(spark, sentiment.analyse(F.lit(""), F.lit("not love this very good food"), F.lit(None).cast("double")))
-    assert got.negative_keywords == ["not love", "not good"]
-    assert got.score == round(-0.4 * 1.344 / 2, 3)
-    assert value(spark, sentiment.analyse(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(5.0))).score == 0.6
+    # the negation covers both words: 0.8 * 0.7 for great, 0.8 * 0.5 * 1.5 for nice
+    got = analysed(spark, "", "hardly great and extremely nice, truly", None)
+    assert got.negative_keywords == ["not great", "not nice"]
+    assert got.score == round(-0.4 * 1.16 / 2, 3)
+    assert analysed(spark, "", "no one here says bad things", None).positive_keywords == []  # the fourth word after the negation
+    assert analysed(spark, None, None, 5.0).score == 0.6
+    assert sentiment.analyse(spark.createDataFrame([], "title string, body string, rating double")).count() == 0
 
 
 def test_common_chars():
