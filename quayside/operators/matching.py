@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayside.functions import fixed
 from quayside.functions.numbers import match_confidence
 from quayside.functions.similarity import may_reach, title_similarity
-from quayside.functions.text import normalize_brand, normalize_category, normalize_title
+from quayside.functions.text import category_in_context, normalize_brand, normalize_category, normalize_title, weights_match
 
 #: The title's share of the confidence, and the most that the rest gives where brands differ and where one is missing.
 TITLE_PART, BEST_OF_OTHER_BRAND, BEST_WITHOUT_BRAND = 0.4, 35.0, 47.5
@@ -27,7 +27,9 @@ def unmatched(listings: DataFrame, matches: DataFrame) -> DataFrame:
 def prepared(table: DataFrame, prefix: str, name: str) -> DataFrame:
     """The columns that matching compares, normalised, named with a prefix."""
     col = lambda c, kind: F.col(c) if c in table.columns else F.lit(None).cast(kind)
-    kind = F.when(col("category", "string").isNotNull(), normalize_category(col("category", "string")))
+    kind = F.col("canonical_category") if "canonical_category" in table.columns else F.when(col("category", "string").isNotNull(), normalize_category(col("category", "string")))
+    if prefix != "p_":  # a listing's title tells the category where its own says nothing
+        kind = category_in_context(col("category", "string"), F.col(name))
     return table.select(
         F.col("id").alias(f"{prefix}id"),
         normalize_title(F.col(name)).alias(f"{prefix}title"),
@@ -39,7 +41,7 @@ def prepared(table: DataFrame, prefix: str, name: str) -> DataFrame:
 
 
 def candidates(listings: DataFrame, products: DataFrame, least: float = fixed.FUZZY_CONFIDENCE) -> DataFrame:
-    """listing_id, product_id, similarity, confidence, same_category of pairs that may match.
+    """listing_id, product_id, similarity, confidence, same_category, exact of pairs that may match.
 
     Of equal brands all pairs whose titles reach ``least``; of different or missing brands those whose confidence
     reaches it too, as no other can match.
@@ -51,11 +53,12 @@ def candidates(listings: DataFrame, products: DataFrame, least: float = fixed.FU
 def same_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Candidates of prepared listings and products with equal brands.
 
-    Pairs meet on the brand and on the length of the title, so that each title only meets titles of a length from
-    which ``least`` percent can be reached; the similarity is computed once for each pair of titles.
+    Pairs meet on the brand; those whose titles can't reach ``least`` percent by their lengths and characters fall out
+    there. The similarity is computed once for each pair of titles.
     """
-    pairs = a.join(b, F.lower("l_brand") == F.lower("p_brand")).where(may_reach(F.col("l_title"), F.col("p_title"), least))
-    return scored(pairs, least)
+    pairs = a.select("*", *bag("l_")).join(b.select("*", *bag("p_")), F.lower("l_brand") == F.lower("p_brand"))
+    pairs = pairs.where(may_reach(F.col("l_title"), F.col("p_title"), least) & shares_characters(F.length("l_title") + F.length("p_title"), least))
+    return scored(pairs.select(*a.columns, *b.columns), least)
 
 
 def other_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -85,8 +88,13 @@ def near_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     lengths = F.sequence(F.ceil(n * (least / (200 - least)) - SLACK).cast("int"), F.floor(n * ((200 - least) / least) + SLACK).cast("int"))
     left = a.select("l_title", n.alias("l_n"), *bag("l_"), F.explode(lengths).alias("n"))
     right = b.select("p_title", F.length("p_title").alias("n"), *bag("p_"))
+    return left.join(right, "n").where(shares_characters(F.col("l_n") + F.col("n"), least)).select("l_title", "p_title")
+
+
+def shares_characters(both: Column, least: float) -> Column:
+    """Whether the bags of two titles of ``both`` characters together have enough in common to reach ``least`` percent."""
     common = sum((F.bit_count(F.col(f"l_bag{k}").bitwiseAND(F.col(f"p_bag{k}"))) for k in range(len(BAGS))), F.least("l_more", "p_more"))
-    return left.join(right, "n").where(common * 200 >= (F.col("l_n") + F.col("n")) * least - SLACK).select("l_title", "p_title")
+    return common * 200 >= both * least - SLACK
 
 
 def bag(prefix: str) -> list[Column]:
@@ -106,15 +114,22 @@ def scored(pairs: DataFrame, least: float) -> DataFrame:
 def rated(near: DataFrame) -> DataFrame:
     columns = lambda c: (F.col(f"l_{c}"), F.col(f"p_{c}"))
     sure = match_confidence(F.col("similarity"), columns("brand"), columns("category"), columns("weight"), columns("quantity"))
-    same = F.coalesce(F.col("l_category") == F.col("p_category"), F.lit(False))
-    return near.select(F.col("l_id").alias("listing_id"), F.col("p_id").alias("product_id"), "similarity", sure.alias("confidence"), same.alias("same_category"))
+    same = F.coalesce((F.col("l_category") == F.col("p_category")) & (F.col("l_category") != "other"), F.lit(False))
+    either = lambda c, ok: F.col(f"l_{c}").isNull() | F.col(f"p_{c}").isNull() | ok(F.col(f"l_{c}"), F.col(f"p_{c}"))
+    brands = F.coalesce(F.lower("l_brand") == F.lower("p_brand"), F.lit(False))
+    alike = brands & (F.col("similarity") >= fixed.EXACT_CONFIDENCE) & either("weight", weights_match) & either("quantity", lambda x, y: x == y)
+    rows = near.select(F.col("l_id").alias("listing_id"), F.col("p_id").alias("product_id"), "similarity", sure.alias("confidence"), same.alias("same_category"), alike.alias("exact"))
+    return rows.withColumn("exact", F.col("exact") & (F.col("confidence") >= fixed.EXACT_CONFIDENCE))
 
 
 def best(pairs: DataFrame, least: float = fixed.FUZZY_CONFIDENCE) -> DataFrame:
-    """Each listing's candidate with the highest confidence; ties to the same category, then to the smaller product id."""
-    top = F.min(F.struct((-F.col("confidence")).alias("o"), (~F.col("same_category")).alias("c"), "product_id", "confidence")).alias("b")
+    """Each listing's candidate: an exact one before any other, then the highest confidence, the same category, the smaller product id.
+
+    Exact is a pair of equal brands whose titles and confidence reach 95 and whose weights and quantities, where known, agree.
+    """
+    top = F.min(F.struct((~F.col("exact")).alias("e"), (-F.col("confidence")).alias("o"), (~F.col("same_category")).alias("c"), "product_id", "confidence", "exact")).alias("b")
     rows = pairs.where(F.col("confidence") >= least).groupBy("listing_id").agg(top)
-    kind = F.when(F.col("b.confidence") >= fixed.EXACT_CONFIDENCE, "exact").otherwise("fuzzy")
+    kind = F.when(F.col("b.exact"), "exact").otherwise("fuzzy")
     return rows.select("listing_id", F.col("b.product_id").alias("product_id"), F.col("b.confidence").cast("decimal(5,2)").alias("confidence_score"), kind.alias("match_type"))
 
 

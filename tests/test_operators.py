@@ -60,6 +60,11 @@ def test_matching(spark):
     assert (best[1].product_id, float(best[1].confidence_score), best[1].match_type) == (7, 100.0, "exact")
     assert float(best[2].confidence_score) == 88.0
     assert 3 not in best
+    # a pair of the same title is exact, although one of another title has more points
+    close = spark.createDataFrame([(20, "crunchy lamb supper", "Acme", "Kibble", 2000, None), (21, "crunchy lamb zupper", "Acme", "Kibble", 2000, 1)], kinds.format("name"))
+    asked = spark.createDataFrame([(4, "crunchy lamb supper", "Acme", None, 2000, 1), (5, "crunchy lamb dry food", "Acme", None, 2000, 1)], kinds.format("title"))
+    found = {r.listing_id: r for r in matching.candidates(asked, close.withColumn("canonical_category", F.lit("other"))).transform(matching.best).collect()}
+    assert (found[4].product_id, found[4].match_type) == (20, "exact")
     none = spark.createDataFrame([], "listing_id long")
     assert {(r.listing_id, r.is_new) for r in matching.match(listings, products, none).collect()} == {(1, False), (2, False), (3, True)}
 
