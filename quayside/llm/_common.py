@@ -20,7 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='quayside-')).rstrip('/')}/quayside-{uuid.uuid4().hex}"
+    return qualified(spark, f"{(root or tempfile.mkdtemp(prefix='quayside-')).rstrip('/')}/quayside-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the cluster's default file system has it, for readers and writers that aren't Spark's."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 class Scratch:

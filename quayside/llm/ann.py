@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHARD, QUERIES, MERGE = 16_384, 1_024, 512  # rows of a shard, queries of a block, shards whose results are merged first
+SHARD, QUERIES, MERGE = 16_384, 8_192, 512  # rows of a shard, queries of a block, shards whose results are merged first
 
 
 class Forest:
@@ -94,34 +94,37 @@ def nearest(
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows found, by Euclidean distance, nearest first.
 
     ``is_query`` is a condition on ``id``. A row is no neighbour of a query with its own id. Vectors that aren't ``usable``
-    or have a null id take no part, nor do those of another dimension than the sample's most common one; ties go to the smaller
-    id; repeated rows are separate neighbours; fewer than ``k`` other rows give fewer. An empty table gives no rows.
+    or have a null id take no part; a query's neighbours have its own dimension. Ties go to the smaller id; repeated rows are
+    separate neighbours; fewer than ``k`` other rows give fewer. Query rows with the same id and different vectors are
+    queries of their own, equal ones are asked once. An empty table gives no rows; other columns aren't read.
     Every row is indexed; ``sample`` bounds only the rows from which the hyperplanes' common point is fitted.
     ``share`` of a shard, and ``least`` rows, are enough candidates.
     """
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     spark = table.sparkSession
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()
-    out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    hit = [T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("asked", T.LongType()), T.StructField("query_id", T.LongType()), *hit])
     if not fitted:
-        return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    sizes = pd.Series([len(r.vec) for r in fitted])
-    dim = int(sizes.mode()[0])
-    centre = np.median(np.array([r.vec for r in fitted if len(r.vec) == dim]), axis=0)
-    rows = rows.where(F.size("vec") == dim)
+        return spark.createDataFrame([], T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), *hit]))
+    sizes: dict[int, list] = {}
+    for r in fitted:
+        sizes.setdefault(len(r.vec), []).append(r.vec)
+    centres = {dim: np.median(np.array(vecs), axis=0) for dim, vecs in sizes.items()}
+    rows = rows.withColumn("dim", F.size("vec"))
     n, q = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // QUERIES))
     # every block of queries meets every shard: a stated query set against all rows, in blocks
     index = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).dropDuplicates(["id"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).dropDuplicates(["id", "vec"]).withColumn("asked", F.xxhash64("id", "vec")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        got: dict[str, list] = {"part": [], "query_id": [], "vec_id": [], "score": []}
+        got: dict[str, list] = {"part": [], "asked": [], "query_id": [], "vec_id": [], "score": []}
         if len(own) and len(queries):
             own = own.sort_values("id", kind="stable")
             ids, vectors = own["id"].to_numpy(), np.stack(own["vec"].to_numpy())
             asked_ids, asked_vecs = queries["id"].to_numpy(), np.stack(queries["vec"].to_numpy())
-            forest = Forest(vectors, centre, trees, bits)
+            forest = Forest(vectors, centres.get(vectors.shape[1], np.zeros(vectors.shape[1])), trees, bits)
             enough = max(least, int(share * len(ids)))
             for i in range(0, len(asked_ids), 256):
                 for j, near in enumerate(forest.candidates(asked_vecs[i : i + 256], enough), i):
@@ -132,13 +135,14 @@ def nearest(
                         near, d = near[close], d[close]
                     best = np.lexsort((ids[near], d))[:k]
                     got["part"] += [int(queries["shard"].iloc[0]) // MERGE] * len(best)
+                    got["asked"] += [int(queries["asked"].iloc[j])] * len(best)
                     got["query_id"] += [int(asked_ids[j])] * len(best)
                     got["vec_id"] += ids[near[best]].tolist()
                     got["score"] += d[best].tolist()
-        return pd.DataFrame(got).astype({"part": "int32", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(got).astype({"part": "int32", "asked": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(lambda a, b: search(b, a), out)
+    found = asked.groupBy("dim", "shard", "block").cogroup(index.groupBy("dim", "shard", "block")).applyInPandas(lambda a, b: search(b, a), out)
     best = lambda hits: F.slice(F.sort_array(hits), 1, k)
-    parts = found.groupBy("query_id", "part").agg(best(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    lists = parts.groupBy("query_id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
+    parts = found.groupBy("query_id", "asked", "part").agg(best(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    lists = parts.groupBy("query_id", "asked").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
     return lists.select("query_id", F.posexplode("near").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -17,14 +17,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_cl
     """(id, y, text) of at most ``per_class`` ids of each label, those with the smallest hashes, with whole texts.
 
     ``train`` tells by the id which rows may be learned from. Labels other than 0 and 1 are left out; of an id
-    with several labels the largest counts. Only the chosen ids, bounded by ``per_class``, are broadcast; the texts stay
+    with several labels the largest counts, and of its rows with different texts the alphabetically first text, so that
+    ``per_class`` bounds rows as well as ids. Only the chosen ids, bounded by ``per_class``, are broadcast; the texts stay
     on the executors, in the shared folder.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(train)
     order = F.xxhash64("id")
     chosen = lab.where("y = 1").select("id", "y").orderBy(order, "id").limit(per_class).union(lab.where("y = 0").select("id", "y").orderBy(order, "id").limit(per_class))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return Scratch(docs.sparkSession).keep(rows.select("id", F.col("y").cast("int").alias("y"), "text"), "sample")
+    return Scratch(docs.sparkSession).keep(rows.groupBy("id").agg(F.max("y").cast("int").alias("y"), F.min("text").alias("text")), "sample")
 
 
 def logistic(x, y, l2: float = 1e-2, steps: int = 50):

@@ -1,7 +1,7 @@
 """Document quality by votes of the nearest labelled neighbours in a latent semantic space.
 
-A document's features are its trigrams of character kinds (runs of letters and of digits count once), how long its
-words are, and how often a word repeats the one before it. A truncated singular value decomposition of a bounded
+A document's features are its hashed words, its trigrams of character kinds (runs of letters and of digits count once),
+and how often a word repeats the one before it. A truncated singular value decomposition of a bounded
 labelled sample gives the latent space. The sample's vectors go with the tasks; every document's cosines with all
 of them are computed exactly, in blocks, and its nearest neighbours vote, weighted by similarity.
 """
@@ -21,7 +21,7 @@ from quayside.llm._common import Scratch, text_blocks, text_of
 from quayside.llm.bagminhash import mix, words
 from quayside.llm.chunks import text_bytes
 
-DIM, KINDS = 2048, 40
+DIM, WORDS, KINDS = 2048, 1024, 40  # slots of trigrams and of words; kinds of characters
 _KIND = np.full(256, 39, dtype=np.int64)  # controls
 _KIND[0x21:0x30] = np.arange(4, 19)
 _KIND[0x3A:0x41] = np.arange(19, 26)
@@ -32,7 +32,7 @@ _KIND[0x20], _KIND[0x0A], _KIND[0x80:0xC0], _KIND[0xC0:] = 3, 38, 36, 2  # later
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """Rows of DIM + 24 counts of each whole text."""
+    """Rows of DIM + 24 + WORDS counts of each whole text."""
     buf, edges = text_bytes(texts)
     n = len(edges) - 1
     kind = _KIND[buf[: int(edges[-1])]]
@@ -60,7 +60,8 @@ def features(texts: pa.Array) -> np.ndarray:
         extra[np.arange(n), np.minimum(15, (share * 16).astype(np.int64))] = np.maximum(size, 1)
         low = np.bincount(text, weights=kind == 1, minlength=n) / np.maximum(np.bincount(text, weights=kind <= 2, minlength=n), 1)
         extra[np.arange(n), 16 + np.minimum(7, (low * 8).astype(np.int64))] = np.maximum(size, 1)
-    return np.hstack([counts, extra])
+    word = np.bincount(of * WORDS + (mix(h) % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS).astype(np.float32)
+    return np.hstack([counts, extra, word])
 
 
 class Neighbours:
@@ -71,8 +72,9 @@ class Neighbours:
 
     @staticmethod
     def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        share = counts / np.maximum(counts[:, :DIM].sum(axis=1, keepdims=True), 1.0)
-        x = np.sqrt(share) * idf
+        total = lambda part: np.maximum(part.sum(axis=1, keepdims=True), 1.0)
+        layout, word = counts[:, : DIM + 24], counts[:, DIM + 24 :]
+        x = np.sqrt(np.hstack([layout / total(layout[:, :DIM]), word / total(word)])) * idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     @classmethod
@@ -112,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000
     """Learned from at most ``per_class`` examples of each label; None if the labels don't hold both.
 
     Features are counted in parallel; one task, bounded by ``per_class``, fits the model, and the driver gets its arrays.
+    Null texts count as empty texts; empty tables give None.
     """
     examples = labelled.sample(docs, labels, "quality", train, per_class, id_col, text_col)
 
@@ -124,12 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000
         ys, rows = [], []
         for batch in batches:
             ys += batch.column("y").to_pylist()
-            rows += [np.frombuffer(x.as_buffer(), dtype=np.float32) for x in batch.column("x")]
+            rows += batch.column("x").to_pylist()
         fitted = None
         if rows:
-            counts, labels_ = np.stack(rows), np.array(ys, dtype=np.float32)
-            order = np.lexsort((*counts.T[:8], labels_))
-            fitted = Neighbours.fit(counts[order], labels_[order])
+            examples_ = sorted(zip(ys, rows, strict=True))  # however they arrive
+            fitted = Neighbours.fit(np.stack([np.frombuffer(x, dtype=np.float32) for _, x in examples_]), np.array([y for y, _ in examples_], dtype=np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], names=["model"])
 
     counted = Scratch(docs.sparkSession).keep(examples.select("y", "text").mapInArrow(count, "y int, x binary"), "features")
@@ -158,7 +160,10 @@ def score_quality(docs: DataFrame, model: Neighbours | None, id_col: str = "doc_
 
 
 def drop_poor(docs: DataFrame, model: Neighbours | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more.
+
+    Null and empty texts score 0.5, as every text does without a model; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm._common import shared_dir, text_blocks, text_of
+from quayside.llm._common import qualified, row_id, shared_dir, text_blocks, text_of
 
+SHARD_BYTES = 256 << 20
 MAGIC, HEAD, TAIL = b"QTOK0001", struct.Struct("<8s4I"), struct.Struct("<4Q")
 
 
@@ -137,7 +138,8 @@ def write_token_files(
 
     Returns the shards in order: shard, path, n_docs, n_tokens, start (ids in the shards before). Each document's
     ids end with ``end_id``; null text counts as empty; null ids come first; rows with equal ids lie side by side in
-    the order of their texts. A task writes under a name of its own attempt and then renames, so that a task that runs twice leaves one
+    the order of their texts' hashes, over several shards if they are many. There are as many shards as shuffle partitions, and more
+    where those would hold over ``SHARD_BYTES`` of text on average. A task writes under a name of its own attempt and then renames, so that a task that runs twice leaves one
     whole file. An empty input gives no shard. Ids are whole numbers.
     """
     from pyspark import TaskContext
@@ -145,10 +147,13 @@ def write_token_files(
     from quayside.llm.byte_bpe import shared
 
     spark = docs.sparkSession
-    out_dir = out_dir or shared_dir(spark)
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out_dir = qualified(spark, out_dir) if out_dir else shared_dir(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "row": row_id()})
+    ordered = keyed.repartitionByRange(shards, "id", "hash", "row").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bpe, writer = TaskContext.get(), None, None

@@ -51,12 +51,13 @@ def terms_of(folded: str) -> set[str]:
     return out
 
 
-def learn(examples: DataFrame, max_terms: int = 5000, least_docs: int = 3, least_weight: float = 0.5) -> dict[str, float]:
-    """The lexicon of (id, y, text): terms of at least ``least_docs`` toxic examples and their weights, the largest ``max_terms``.
+def learn(examples: DataFrame, least_docs: int = 3, least_weight: float = 0.5) -> dict[str, float]:
+    """The lexicon of (id, y, text): terms of at least ``least_docs`` toxic examples and their weights.
 
     A weight is the log odds less 2.6 standard errors, so that chance terms fall out. Of a label's examples with the same text
     one counts, as copies say nothing new. A longer term is left out where a beginning of it says as much.
-    Terms are counted on the executors; only the chosen ones come to the driver.
+    Terms are counted on the executors; only the chosen ones come to the driver, all of them: the sample bounds their number.
+    Null texts count as empty; without toxic or without clean examples there are no terms.
     """
     once = examples.groupBy("y", F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("id", "text")).alias("x"))
     examples = once.select("x.id", "y", "x.text")
@@ -74,8 +75,8 @@ def learn(examples: DataFrame, max_terms: int = 5000, least_docs: int = 3, least
     counted = examples.select("y", "text").mapInArrow(split, "term string, y int").groupBy("term").agg(F.sum("y").alias("k"), F.sum(1 - F.col("y")).alias("c"))
     k, c = F.col("k") + 0.5, F.col("c") + 0.5
     weight = F.log(k / (n1 + 1)) - F.log(c / (n0 + 1)) - 2.6 * F.sqrt(1 / k + 1 / c)
-    best = counted.where(F.col("k") >= least_docs).select("term", weight.alias("w")).where(F.col("w") >= least_weight).orderBy(F.desc("w"), "term").limit(max_terms)
-    chosen = {r.term: r.w for r in best.collect()}
+    best = counted.where(F.col("k") >= least_docs).select("term", weight.alias("w")).where(F.col("w") >= least_weight)
+    chosen = {r.term: r.w for r in best.orderBy("term").collect()}
     return {t: w for t, w in chosen.items() if not any(t[: n + 1] != t and chosen.get(t[: n + 1], -1.0) >= w for n in PREFIXES)}
 
 
@@ -130,7 +131,10 @@ class Lexicon:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """A lexicon learned from at most ``per_class`` toxic and as many clean examples. Without both, nothing is toxic."""
+    """A lexicon learned from at most ``per_class`` toxic and as many clean examples. Without both, nothing is toxic.
+
+    Null texts count as empty texts, null ids aren't learned from; empty tables give a lexicon without terms.
+    """
     examples = labelled.sample(docs, labels, "toxic", train, per_class, id_col, text_col)
     terms = learn(examples)
     lexicon = Lexicon(terms, 0.0, -5.0)
@@ -168,7 +172,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score less than ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score less than ``threshold``.
+
+    Null and empty texts have no hits and score as such; an empty table gives no rows.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, text_col):
