@@ -60,6 +60,7 @@ def features(texts: pa.Array) -> np.ndarray:
         extra[np.arange(n), np.minimum(15, (share * 16).astype(np.int64))] = np.maximum(size, 1)
         low = np.bincount(text, weights=kind == 1, minlength=n) / np.maximum(np.bincount(text, weights=kind <= 2, minlength=n), 1)
         extra[np.arange(n), 16 + np.minimum(7, (low * 8).astype(np.int64))] = np.maximum(size, 1)
+        extra[size == 0] = 0
     word = np.bincount(of * WORDS + (mix(h) % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS).astype(np.float32)
     return np.hstack([counts, extra, word])
 

@@ -106,7 +106,7 @@ class Lexicon:
         if self.automaton is None:
             self.automaton = self.build()
         folded = fold(text)
-        n = folded.count(" ") - 1
+        n = folded.count(" ") - 1 if len(folded) > 2 else 0
         if not len(self.automaton) or n < 1:
             return 0.0, 0, max(0, n)
         hits: dict[int, float] = {}

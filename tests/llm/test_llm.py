@@ -137,14 +137,57 @@ def test_near_dedup(spark, monkeypatch):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: find(i) for i in range(len(texts))}
-    for few, rounds in ((16, 2), (2, 0)):  # the second way sends everything through blocks
-        monkeypatch.setattr(near_dedup, "FEW", few)
-        monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    for rounds in (2, 0):  # without leaders everything goes through blocks
         assert {r.doc_id: r.group_id for r in near_dedup.near_dedup(df, leader_rounds=rounds).collect()} == want
+    monkeypatch.setattr(near_dedup, "BROADCAST", 0)
+    assert {r.doc_id: r.group_id for r in near_dedup.near_dedup(df).collect()} == want
     kept = near_dedup.keep_one_of_each(df)
     assert kept.count() == len(set(want.values())) and kept.columns == df.columns
 
 
+def test_components(spark):
+    from quayside.llm._common import Scratch
+    from quayside.llm.graph import Sets, components
+
+    rng = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 6000 + k) for k in range(50)] + [(7, 7)]
+    sets = Sets()
+    for a, b in links:
+        if a != b:
+            sets.join(a, b)
+    df = spark.createDataFrame(links, "a long, b long")
+    for limit in (10_000, 4):  # in one task, and by contraction
+        got = defaultdict(set)
+        for r in components(df, Scratch(spark), limit).collect():
+            got[r.component].add(r.node)
+        want = defaultdict(set)
+        for x in sets.parent:
+            want[sets.root(x)].add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert all(c in nodes for c, nodes in got.items())
+    assert components(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_near_dedup_loses_no_link(spark):
+    """Groups of sf0.01 against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    t, s, c, _ = bagminhash.bags(pa.array([d.text or "" for d in docs]), 5)
+    small = near_dedup.overlaps((t, s, c), (t, s, c), len(docs), len(docs))
+    size = np.bincount(t, weights=c, minlength=len(docs))
+    near = (small >= 0.8 * (size[:, None] + size[None, :] - small) - 1e-3) & (size > 0)[:, None]
+    group = list(range(len(docs)))
+    for i, j in np.argwhere(near).tolist():
+        if group[i] != group[j]:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    got = {r.doc_id: r.group_id for r in QUERIES["op6_minhash_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    want = {d.doc_id: docs[g].doc_id for d, g in zip(docs, group, strict=True) if size[g]}
+    linked = {i for i in want if sum(v == want[i] for v in want.values()) > 1}
+    assert linked and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == want[i] for i in want if i not in linked)
+
+
 def test_block_overlaps():
     texts = pa.array(["a b c d e f " * 9, "a b c d e f " * 4, "x y z", "", "a b c d e g h"])
     t, s, c, _ = bagminhash.bags(texts, 5)
@@ -231,6 +274,158 @@ def test_nearest_where_few_rows_are_candidates(spark):
     assert len(got) == (ids % 4 == 0).sum() >= 400 and hits / (10 * len(got)) >= 0.95
 
 
+def test_nearest_edges(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [3.0, 0.0]), (5, [1.0, 0.0, 0.0]), (200, [1.0, 0.5, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, id int, shard int, score int")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    # both vectors of id 0 are asked; the equal vectors of 100 and 3 tie, the smaller id first; a dimension is searched by itself
+    near = [(3, 0.0), (3, 0.0), (100, 0.0), (2, 2.0)]
+    far = [(3, 5**0.5), (3, 5**0.5), (100, 5**0.5), (2, 13**0.5)]
+    assert sorted(got[0]) == sorted([(k + 1, *x) for k, x in enumerate(near)] + [(k + 1, *x) for k, x in enumerate(far)])
+    assert got[100] == [(1, 0, 0.0), (2, 3, 0.0), (3, 3, 0.0), (4, 2, 2.0), (5, 0, 5**0.5)]
+    assert got[200] == [(1, 5, 0.5)]
+    assert ann.nearest(df.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_token_files_edges(spark, odd):
+    shards = token_files.write_token_files(odd, tokenizer("byte_bpe_50k.json"))
+    got = sorted(token_files.read_token_files(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in ODD), key=lambda i: -1 if i is None else i)
+    want = Counter((i, tuple([*ids, 2])) for (i, _), ids in zip(ODD, library([t for _, t in ODD]), strict=True))
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, dtype="<u4").tolist())) for r in got) == want
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), tokenizer("byte_bpe_50k.json"))).count() == 0
+
+
+def test_prefix_counts(spark):
+    import sentencepiece
+
+    path, limit = tokenizer("piece_bpe_32k.model"), 6
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", "a", "Some words, and  more: 12345!", "naïve…\n\n文字 x", " leading", "</s> <unk> s", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts.count_tokens(df, path, limit=limit, with_prefixes=True).collect():
+        t = texts[r.doc_id] or ""
+        counts = [len(sp.encode(t[:k])) for k in range(len(t) + 1)]
+        assert r.prefix_counts == counts and r.n_tokens == counts[-1]
+        assert (r.n_bytes, r.over_limit, r.fits_chars) == (len(t.encode()), counts[-1] > limit, max(k for k, c in enumerate(counts) if c <= limit))
+    assert token_counts.count_tokens(df.limit(0), path).count() == 0
+
+
+def unigram_model(path):
+    """A small unigram model, put together by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    kinds = pb.ModelProto.SentencePiece
+    pieces = [("<unk>", 0.0, kinds.UNKNOWN), ("<s>", 0.0, kinds.CONTROL), ("</s>", 0.0, kinds.CONTROL)] + [(f"<0x{b:02X}>", -30.0, kinds.BYTE) for b in range(256)]
+    pieces += [("▁", -2.0, kinds.NORMAL), ("▁dog", -3.0, kinds.NORMAL), ("s", -3.5, kinds.NORMAL), ("▁do", -5.0, kinds.NORMAL), ("gs", -6.0, kinds.NORMAL), ("▁the", -2.5, kinds.NORMAL)]
+    pieces += [(c, -8.0 - k / 10, kinds.NORMAL) for k, c in enumerate("abcdefghijklmnopqrtuvwxyz")]
+    for piece, score, kind in pieces:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = pb.TrainerSpec.UNIGRAM, True, len(pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_unigram(spark, tmp_path):
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "unigram.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the dogs", "dog", "", None, "über dog\nx", "the  dogs do"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentencepiece_codec.round_trip_pieces(df, path).collect()}
+    for k, t in enumerate(texts):
+        assert np.frombuffer(got[k].ids, dtype="<u4").tolist() == sp.encode(t or "")
+        assert got[k].decoded == (t or "") and got[k].n_repaired == 0
+    assert sentencepiece_codec.round_trip_pieces(df.limit(0), path).count() == 0
+
+
+def test_licenses_against_plain_search(spark, odd):
+    """Phrases by comparing words at every place, templates by a regular expression over the words."""
+    import re
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    full = licenses.TEMPLATES["zlib-text"].replace("<<beginOptional>>", "").replace("<<endOptional>>", "").replace("<<var;max=1>>", "1.")
+    rows += [(-1, full), (-2, full.replace("plainly", "")), (-3, "mit license " * 20_000), (-4, licenses.TEMPLATES["unlicense-text"].replace("<<var;max=6>>", "AUTHORS"))]
+
+    def pattern(template):
+        out, at = "", 0
+        for m in [*licenses._MARK.finditer(template), None]:
+            out += "".join(f" {w.decode()}" for w in licenses.words_of(template[at : m.start() if m else len(template)]))
+            if m:
+                at = m.end()
+                out += "(?:" if m[1] == "beginOptional" else ")?" if m[1] == "endOptional" else f"(?: [^ ]+){{0,{m[2]}}}"
+        return re.compile(out + r"(?= )")
+
+    templates = {name: pattern(t) for name, t in licenses.TEMPLATES.items()}
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        words = [w.decode() for w in licenses.words_of(t or "")]
+        places = {(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()}
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        base = {label for _, label in places}
+        whole = f" {' '.join(words)} "
+        assert r.base_labels == ",".join(sorted(base))
+        assert r.labels == ",".join(sorted(base | {name for name, p in templates.items() if p.search(whole)})), i
+    assert "zlib-text" in got[-1].labels and "zlib-text" not in got[-2].labels and "unlicense-text" in got[-4].labels
+    assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_lexicon_against_plain_search():
+    terms = {toxicity.fold("idiot"): 2.0, toxicity.fold("idiot")[:5]: 1.0, " trash ".replace("l", "i"): 1.5, " sc": 0.7}
+    lexicon = toxicity.Lexicon(terms, 1.0, 0.0)
+    for text in ["An 1D10T, idiots and trash", "the trash can is full of trash", "scum line or scum", "", "!!! @", "idiot proof idiot " * 500, "ｉｄｉｏｔ"]:
+        folded = toxicity.fold(text)
+        free = set()
+        for e in map(toxicity.fold, toxicity.EXCEPTIONS):
+            free |= {p for k in range(len(folded)) if folded.startswith(e, k) for p in range(k, k + len(e) - 1)}
+        best = [max((w for t, w in terms.items() if folded.startswith(t, k)), default=0.0) for k in range(len(folded)) if k not in free]
+        weight, hits, n = lexicon.weight(text)
+        assert (round(weight, 6), hits, n) == (round(sum(best), 6), sum(b > 0 for b in best), len(folded.split()))
+
+
+def test_votes_against_plain_search(spark, docs):
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit(source, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), F.lit(True))
+    texts = pa.array([r.text or "" for r in docs.collect()][:60] + [""])
+    got = model.score(texts)
+    latent = model.weigh(quality.features(texts), model.idf) @ model.basis
+    for k, v in enumerate(latent):
+        cosine = [float(v @ x) / max(1e-12, float(np.linalg.norm(v))) for x in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: model.k]
+        weight = [max(1e-6, cosine[i]) ** model.power for i in near]
+        want = 0.5 if not texts[k].as_py() else sum(w * model.votes[i] for w, i in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(got[k] - want) < 0.02
+    again = quality.fit(source.repartition(7), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), F.lit(True))
+    assert (again.vectors == model.vectors).all() and (again.votes == model.votes).all()
+
+
+def test_one_row_for_each_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, labelled.sample(docs, labels, "toxic", F.lit(True), 10).collect())) == [(1, 1, "a"), (2, 0, "")]
+
+
+def test_pipeline_edges(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.01/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    more = [(i, t, "en", "web", 1) for i, t in ODD] + [(9, "a b c d e f", None, None, None)]
+    for name, rows in (("odd", more), ("empty", [])):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row int").write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        # no example is learned from, so nothing is toxic or poor; one of each text stays, the largest id
+        assert {r.doc_id for r in got} == ({2, 9, 5, 6, 7} if rows else set())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
