@@ -58,7 +58,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut = first[first > 0] - 1
     ends_at[cut] |= inside[cut]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(ends_at) + 1
-    up, down = _powers(max(16, int(len(buf) + 1).bit_length()))
+    up, down = _powers(max(21, int(len(buf) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[_LOWER[buf]] * up[: len(buf)])])
     h = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
     return h, np.searchsorted(starts, edges)

@@ -39,7 +39,7 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(row, id, key1, key2, size, bands) of each row of (row, id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, "text", 2 << 20):
+        for block in text_blocks(batches, "text"):
             texts = block.column("text")
             t, s, c, n = bag.bags(texts, shingle)
             k1, k2, size = bag.fingerprints(t, s, c, len(texts))
@@ -78,7 +78,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
         def one(t, s, c, k, edges):
             return s[edges[k] : edges[k + 1]], c[edges[k] : edges[k + 1]]
 
-        for block in text_blocks(batches, "text_b", 2 << 20):
+        for block in text_blocks(batches, "text_b"):
             a = block.column("a").to_pylist()
             fresh = [k for k in dict((x, i) for i, x in enumerate(a) if x not in known).values()]
             if fresh:

@@ -74,9 +74,12 @@ class Neighbours:
     @staticmethod
     def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
         total = lambda part: np.maximum(part.sum(axis=1, keepdims=True), 1.0)
-        layout, word = counts[:, : DIM + 24], counts[:, DIM + 24 :]
-        x = np.sqrt(np.hstack([layout / total(layout[:, :DIM]), word / total(word)])) * idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.sqrt(counts)
+        x[:, : DIM + 24] /= np.sqrt(total(counts[:, :DIM]))
+        x[:, DIM + 24 :] /= np.sqrt(total(counts[:, DIM + 24 :]))
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
 
     @classmethod
     def fit(cls, counts: np.ndarray, ys: np.ndarray, dims: int = 48, k: int = 15, power: float = 8.0) -> Neighbours | None:
@@ -97,8 +100,8 @@ class Neighbours:
     def score(self, texts: pa.Array) -> np.ndarray:
         """Share of the votes for label 1."""
         out = np.empty(len(texts))
-        for i in range(0, len(texts), 512):
-            part = features(texts.slice(i, 512))
+        for i in range(0, len(texts), 256):
+            part = features(texts.slice(i, 256))
             latent = self.weigh(part, self.idf) @ self.basis
             nothing = ~part.any(axis=1)
             latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -132,7 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000
         fitted = None
         if rows:
             examples_ = sorted(zip(ys, rows, strict=True))  # however they arrive
-            fitted = Neighbours.fit(np.stack([np.frombuffer(x, dtype=np.float32) for _, x in examples_]), np.array([y for y, _ in examples_], dtype=np.float32))
+            counts = np.stack([np.frombuffer(x, dtype=np.float32) for _, x in examples_])
+            labels_ = np.array([y for y, _ in examples_], dtype=np.float32)
+            del rows, examples_
+            fitted = Neighbours.fit(counts, labels_)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], names=["model"])
 
     counted = Scratch(docs.sparkSession).keep(examples.select("y", "text").mapInArrow(count, "y int, x binary"), "features")
