@@ -152,7 +152,11 @@ def compared(listings: DataFrame, matches: DataFrame) -> DataFrame:
 
 def other_matches(matches: DataFrame, top: int = 10) -> DataFrame:
     """For each match up to ``top`` other listings of its product, smallest ids first, each product's list built once."""
-    some = matches.groupBy("product_id").agg(F.slice(F.sort_array(F.collect_set("listing_id")), 1, top + 1).alias("x"))
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("product_id").orderBy("listing_id"))
+    few = matches.select("product_id", "listing_id").distinct().withColumn("r", first).where(F.col("r") <= top + 1)
+    some = few.groupBy("product_id").agg(F.sort_array(F.collect_list("listing_id")).alias("x"))
     return matches.select("listing_id", "product_id").join(some, "product_id").select("listing_id", "product_id", F.slice(F.array_remove("x", F.col("listing_id")), 1, top).alias("others"))
 
 

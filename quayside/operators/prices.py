@@ -215,8 +215,10 @@ def product_trend(matches: DataFrame, listings: DataFrame, prices: DataFrame, as
 
 def recent_drops(listings: DataFrame, prices: DataFrame, as_of: Column, days: int = 7, top: int = 8) -> DataFrame:
     """The ``top`` listings in stock whose last price is recent and below the one before."""
-    two = prices.where(F.col("price_pence").isNotNull()).groupBy("listing_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(*ORDER)), asc=False), 1, 2).alias("x"))
-    pair = two.where(F.size("x") == 2).select("listing_id", F.col("x")[0]["recorded_at"].alias("at"), F.col("x")[0]["price_pence"].alias("price_pence"), F.col("x")[1]["price_pence"].alias("previous_price_pence"))
+    newest = F.row_number().over(Window.partitionBy("listing_id").orderBy(*[F.desc(c) for c in ORDER]))
+    two = prices.where(F.col("price_pence").isNotNull()).withColumn("r", newest).where(F.col("r") <= 2)
+    last = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
+    pair = two.groupBy("listing_id").agg(last("recorded_at", 1).alias("at"), last("price_pence", 1).alias("price_pence"), last("price_pence", 2).alias("previous_price_pence"))
     rows = pair.where((F.col("at") >= ago(as_of, days)) & (F.col("price_pence") < F.col("previous_price_pence")))
     rows = rows.join(listings.where("in_stock").select(F.col("id").alias("listing_id"), "title"), "listing_id")
     return rows.withColumn("drop_percentage", drop_percent(F.col("previous_price_pence"), F.col("price_pence"), 1)).orderBy(F.desc("drop_percentage"), "listing_id").limit(top).drop("at")
