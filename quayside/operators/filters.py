@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed, ingredients
+from quayside.functions.text import slugify
 
 
 def in_stock() -> Column:
@@ -44,6 +45,27 @@ def recent_reviews(as_of: Column, days: int = 30) -> Column:
     return F.col("review_date") >= F.to_date(as_of) - F.lit(days)
 
 
+def high_rated(least: float = 4.0) -> Column:
+    return F.col("rating") >= least
+
+
+def verified_purchase() -> Column:
+    return F.col("verified_purchase")
+
+
+def equal(**values) -> Column:
+    """Every named column has the given value, e.g. retailer_id, brand, category or barcode; without names every row."""
+    out = F.lit(True)
+    for name, value in values.items():
+        out = out & (F.col(name) == value)
+    return out
+
+
+def between_days(column: str, first: Column, last: Column) -> Column:
+    """The column's day lies between two days, both included."""
+    return F.to_date(column).between(first, last)
+
+
 def crawlable() -> Column:
     return F.col("status").isin(list(fixed.CRAWLABLE))
 
@@ -97,3 +119,9 @@ def grain_free(listings: DataFrame) -> DataFrame:
 def single_protein(listings: DataFrame) -> DataFrame:
     """Exactly one of the five proteins."""
     return with_allergens(listings).where(ingredients.exactly_one_protein(F.col("allergens")))
+
+
+def with_retailer(rows: DataFrame, retailers: DataFrame) -> DataFrame:
+    """Rows with the id of the retailer whose slug their ``retailer_name`` gives; rows of unknown names are left out."""
+    known = retailers.select(F.col("slug").alias("_slug"), F.col("id").alias("retailer_id"))
+    return rows.withColumn("_slug", slugify(F.col("retailer_name"))).join(known, "_slug").drop("_slug")

@@ -67,7 +67,7 @@ QUERIES = {
     "bulk_approvable": lambda s, d: U.bulk_approvable(T.matches(s, d), 80, 100).select("listing_id", "product_id"),
     "export_products": lambda s, d: X.product_rows(T.products(s, d)),
     "export_prices": lambda s, d: X.price_rows(T.products(s, d), T.matches(s, d), T.listings(s, d), T.retailers(s, d)),
-    "export_nested_json": lambda s, d: X.nested(T.products(s, d), T.matches(s, d), T.listings(s, d)),
+    "export_nested_json": lambda s, d: X.nested(T.products(s, d), T.matches(s, d), T.listings(s, d), T.retailers(s, d)),
 }
 
 
@@ -140,6 +140,12 @@ ORACLE_SQL = {
         FROM (SELECT listing_id, max(price_pence) AS p FROM prices WHERE recorded_at < '1999-01-01' GROUP BY 1) a FULL JOIN (SELECT listing_id, max(price_pence) AS p FROM prices WHERE recorded_at >= '1999-01-01' GROUP BY 1) b ON a.listing_id = b.listing_id"""),
     "bulk_approvable": sql("matches", " SELECT listing_id, product_id FROM matches WHERE status = 'pending' AND c >= 80 ORDER BY listing_id LIMIT 100"),
     "export_products": sql("products", f" SELECT id, name, slug, brand, category, canonical_category, weight_grams, {_POUNDS('lowest_price_pence')} AS lowest_price, CASE WHEN is_verified THEN 'Yes' ELSE 'No' END AS verified FROM products"),
-    "export_prices": sql("products matches listings retailers", f""" SELECT product_id, p.name, listing_id, title, r.name AS retailer, {_POUNDS("price_pence")} AS price, {_POUNDS("original_price_pence")} AS original_price, CASE WHEN in_stock THEN 'Yes' ELSE 'No' END AS in_stock
+    "export_prices": sql("products matches listings retailers", f""" SELECT product_id, p.name, p.brand, r.name AS retailer, listing_id, title, CASE WHEN price_pence <> 0 THEN {_POUNDS("price_pence")} END AS price,
+        CASE WHEN original_price_pence <> 0 THEN {_POUNDS("original_price_pence")} END AS original_price, CASE WHEN {_SALE} THEN 'Yes' ELSE 'No' END AS on_sale, CASE WHEN in_stock THEN 'Yes' ELSE 'No' END AS in_stock,
+        strftime(l.last_scraped_at, '%Y-%m-%dT%H:%M:%SZ') AS last_scraped
         FROM products p JOIN matches m ON m.product_id = p.id JOIN listings l ON l.id = m.listing_id LEFT JOIN retailers r ON r.id = l.retailer_id"""),
+    "export_nested_json": sql("products matches listings retailers", """, x AS (SELECT product_id, list({'price_pence': price_pence, 'listing_id': listing_id, 'title': title, 'in_stock': in_stock,
+        'retailer': CASE WHEN r.id IS NOT NULL THEN {'id': r.id, 'name': r.name, 'slug': r.slug} END} ORDER BY price_pence, listing_id) AS listings
+        FROM matches m JOIN listings l ON l.id = m.listing_id LEFT JOIN retailers r ON r.id = l.retailer_id GROUP BY 1)
+        SELECT id, CAST(to_json({'id': id, 'name': name, 'brand': brand, 'listings': coalesce(listings, [])}) AS VARCHAR) AS json FROM products LEFT JOIN x ON x.product_id = products.id"""),
 }

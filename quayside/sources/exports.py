@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.text import money
+from quayside.operators.filters import on_sale
 
 ISO = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
@@ -27,19 +28,35 @@ def product_rows(products: DataFrame) -> DataFrame:
 
 
 def price_rows(products: DataFrame, matches: DataFrame, listings: DataFrame, retailers: DataFrame) -> DataFrame:
-    """One row for each product and listing."""
+    """One row for each product and listing. Prices of 0 count as unknown; a listing of no known retailer has none."""
+    known = lambda c: pounds(F.nullif(F.col(c), F.lit(0)))
     shops = retailers.select(F.col("id").alias("retailer_id"), F.col("name").alias("retailer"))
-    own = listings.select(F.col("id").alias("listing_id"), "retailer_id", "title", "price_pence", "original_price_pence", "in_stock").join(shops, "retailer_id", "left")
-    rows = products.select(F.col("id").alias("product_id"), "name").join(matches.select("product_id", "listing_id"), "product_id").join(own, "listing_id")
-    return rows.select("product_id", "name", "listing_id", "title", "retailer", pounds(F.col("price_pence")).alias("price"), pounds(F.col("original_price_pence")).alias("original_price"), yes_no(F.col("in_stock")).alias("in_stock"))
+    url = [c for c in ("url",) if c in listings.columns]
+    own = listings.select(F.col("id").alias("listing_id"), "retailer_id", "title", "price_pence", "original_price_pence", "in_stock", "last_scraped_at", *url).join(shops, "retailer_id", "left")
+    rows = products.select(F.col("id").alias("product_id"), "name", "brand").join(matches.select("product_id", "listing_id"), "product_id").join(own, "listing_id")
+    return rows.select(
+        "product_id", "name", "brand", "retailer", "listing_id", "title", known("price_pence").alias("price"), known("original_price_pence").alias("original_price"),
+        yes_no(on_sale()).alias("on_sale"), yes_no(F.col("in_stock")).alias("in_stock"), *url, F.date_format("last_scraped_at", ISO).alias("last_scraped"),
+    )
 
 
-def nested(products: DataFrame, matches: DataFrame, listings: DataFrame) -> DataFrame:
-    """(id, json) of each product with its listings, cheapest first."""
-    own = matches.select("product_id", "listing_id").join(listings.select(F.col("id").alias("listing_id"), "price_pence", "title", "in_stock"), "listing_id")
-    lists = own.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("price_pence", "listing_id", "title", "in_stock"))).alias("listings"))
+LISTING = "struct<price_pence:bigint,listing_id:bigint,title:string,in_stock:boolean,retailer:struct<id:bigint,name:string,slug:string>>"
+
+
+def nested(products: DataFrame, matches: DataFrame, listings: DataFrame, retailers: DataFrame) -> DataFrame:
+    """(id, json) of each product with its listings, cheapest first, and each listing's retailer, null where unknown."""
+    shops = retailers.select(F.col("id").alias("retailer_id"), F.struct("id", "name", "slug").alias("retailer"))
+    priced = listings.select(F.col("id").alias("listing_id"), "retailer_id", "price_pence", "title", "in_stock").join(shops, "retailer_id", "left")
+    own = matches.select("product_id", "listing_id").join(priced, "listing_id")
+    lists = own.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("price_pence", "listing_id", "title", "in_stock", "retailer"))).alias("listings"))
     rows = products.join(lists.withColumnRenamed("product_id", "id"), "id", "left")
-    return rows.select("id", F.to_json(F.struct("id", "name", "brand", F.coalesce("listings", F.array().cast("array<struct<price_pence:bigint,listing_id:bigint,title:string,in_stock:boolean>>")).alias("listings"))).alias("json"))
+    listed = F.coalesce("listings", F.array().cast(f"array<{LISTING}>")).alias("listings")
+    return rows.select("id", F.to_json(F.struct("id", "name", "brand", listed), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def envelope(rows: DataFrame, exported_at: Column) -> DataFrame:
+    """One row for the file beside an export's lines: how many there are, and when they were written."""
+    return rows.agg(F.count(F.lit(1)).alias("count")).withColumn("exported_at", F.date_format(exported_at, ISO))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
