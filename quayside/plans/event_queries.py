@@ -92,6 +92,8 @@ ORACLE_SQL = {
         FROM (SELECT unnest(generate_series(t - 29, t, INTERVAL 1 DAY)) AS d FROM n) g LEFT JOIN (SELECT * FROM s WHERE retailer = 'retailer-3') x ON x.day = CAST(g.d AS DATE)"""),
     "daily_chart_all_retailers": sql("crawl", f""", s AS ({_DAILY}), n AS (SELECT CAST(max(ts) AS DATE) AS t FROM events) SELECT CAST(g.d AS DATE) AS day, coalesce(started, 0) AS started, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed
         FROM (SELECT unnest(generate_series(t - 29, t, INTERVAL 1 DAY)) AS d FROM n) g LEFT JOIN (SELECT day, sum(started) AS started, sum(completed) AS completed, sum(failed) AS failed FROM s GROUP BY 1) x ON x.day = CAST(g.d AS DATE)"""),
+    "running_average": sql("crawl", """ SELECT retailer, CAST(created_at AS DATE) AS day, list_reduce(list({'n': 1::BIGINT, 'm': duration_ms} ORDER BY created_at, id),
+        lambda a, x: {'n': a.n + 1, 'm': (2 * (a.m * a.n + x.m) + a.n + 1) // (2 * (a.n + 1))}).m AS running_average_ms FROM crawl WHERE event = 'completed' AND duration_ms IS NOT NULL GROUP BY 1, 2"""),
     "success_rates": sql("crawl", f" SELECT *, {ratio('completed * 100', 'completed + failed', 2)} AS success_rate FROM (SELECT retailer, count(*) FILTER (event = 'started') AS started, count(*) FILTER (event = 'completed') AS completed, count(*) FILTER (event = 'failed') AS failed, count(*) FILTER (event = 'discovered') AS discovered FROM crawl GROUP BY 1)"),
     "today_totals": sql("crawl", ", n AS (SELECT max(ts) AS t FROM events) SELECT event, count(*) AS total, count(*) FILTER (created_at >= t - INTERVAL 1 HOUR) AS last_hour, count(*) FILTER (created_at >= t - INTERVAL 24 HOUR) AS last_day FROM crawl, n GROUP BY 1"),
     "stream_daily_stats": sql("crawl", " " + _DAILY),
