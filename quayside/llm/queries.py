@@ -86,6 +86,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op11_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.repeats import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir), width=50)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.alignment import align
+
+    return align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quayside.llm.spelling import spelling_variants
+
+    return spelling_variants(documents(spark, sf_dir), min_length=6, min_count=5, ratio=5)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -97,6 +117,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality": op10_quality,
+    "op11_repeat_removal": op11_repeat_removal,
+    "op12_alignment": op12_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -104,5 +127,19 @@ ORACLE_SQL = {
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+""",
+    "op11_repeat_removal": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM d)),
+     gone AS (SELECT r, p, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -51) > 50 AS fresh
+              FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+     runs AS (SELECT r, min(p) AS a, max(p) + 50 AS z FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM gone) GROUP BY r, k),
+     ends AS (SELECT r, a, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS following FROM runs),
+     cuts AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, min(a) AS head,
+                     string_agg(substr(h, 2 * z + 1, 2 * (coalesce(following, len(h) // 2) - z)), '' ORDER BY a) AS tail
+              FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN head IS NULL THEN h ELSE substr(h, 1, 2 * head) || tail END)) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r)
 """,
 }
