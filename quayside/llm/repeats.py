@@ -27,6 +27,7 @@ from quayside.llm._common import Scratch, free_name, numbered, text_blocks, text
 from quayside.llm.chunks import text_bytes
 
 BUCKET_BYTES = 16 << 20  # of text for each task that sorts
+TILE = 1 << 14  # places whose hashes are worked out together, in the processor's cache
 HOT_BLOCKS = 512  # blocks with an anchor, beyond which its suffixes are dealt out one by one
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -64,33 +65,42 @@ class Block:
         self.buf, self.edges = text_bytes(batch.column("text"))
         self.eights = _eights(self.buf)
         size, lengths = int(self.edges[-1]), np.diff(self.edges)
-        n_suffixes = np.maximum(lengths - width + 1, 0)
-        total = int(n_suffixes.sum())
-        if not total:
+        if not (lengths >= width).any():
             self.lo = self.hi = self.doc = self.anchor = np.empty(0, dtype=np.int64)
             self.g = np.empty(0, dtype=np.uint64)
             return
         gram = width - self.span + 1
-        h = np.zeros(size, dtype=np.uint64)
-        places = np.arange(size)
-        for k, at in enumerate(_digits(gram)):
-            h = _mix((h + _digit(self.eights, np.minimum(places + at, len(self.eights) - 1), gram)) * _ODD[k % 3])
-        least = (h >> np.uint64(32) << np.uint64(32)) | places.astype(np.uint64)  # leftmost of equals
-        step = 1
-        while step < self.span:  # the least of ever longer runs of places
-            more = min(step, self.span - step)
-            shifted = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-            shifted[: size - more] = least[more:]
-            least, step = np.minimum(least, shifted), step + more
-        doc = np.repeat(np.arange(len(lengths)), n_suffixes)
-        ends = np.cumsum(n_suffixes)
-        at = np.arange(total) - np.repeat(ends - n_suffixes, n_suffixes) + self.edges[doc]
-        anchor = (least[at] & _LOW).astype(np.int64)
-        new = np.ones(total, dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], total) - 1
-        self.lo, self.hi, self.doc, self.anchor = at[first], at[last], doc[first], anchor[first]
+        # a hash of the ``gram`` bytes from each place on, and the place of the lowest of the next ``span``, leftmost of equals
+        plain = np.ndarray((len(self.buf) - 7,), dtype="<u8", buffer=self.buf, strides=(1,))
+        h, least = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint64)
+        for s in range(0, size, TILE):
+            own = h[s : s + TILE + self.span - 1]
+            own[:] = 0
+            for k, at in enumerate(_digits(gram)):
+                own ^= own >> np.uint64(32)
+                word = plain[s + at : s + at + len(own)]
+                own += word if gram >= 8 else word & np.uint64((1 << 8 * gram) - 1)
+                own *= _ODD[k % 3]
+            low = own >> np.uint64(32)
+            low <<= np.uint64(32)
+            low |= np.arange(s, s + len(own), dtype=np.uint64)
+            step = 1
+            while step < self.span:
+                more = min(step, self.span - step)
+                np.minimum(low[:-more], low[more:], out=low[:-more])
+                step += more
+            least[s : s + TILE] = low[:TILE]
+        whole = np.ones(size, dtype=bool)  # places where a suffix of ``width`` bytes begins
+        tails = np.minimum(lengths, width - 1)
+        whole[np.arange(int(tails.sum())) - np.repeat(np.cumsum(tails) - self.edges[1:], tails)] = False
+        same = least[1:] == least[:-1]
+        same &= whole[1:] & whole[:-1]
+        first, last = whole.copy(), whole
+        first[1:] &= ~same
+        last[:-1] &= ~same
+        self.lo, self.hi = np.flatnonzero(first), np.flatnonzero(last)
+        self.doc = np.searchsorted(self.edges, self.lo, side="right") - 1
+        self.anchor = (least[self.lo] & _LOW).astype(np.int64)
         self.g = _mix(h[self.anchor] + _ODD[0])
 
     def in_several(self) -> np.ndarray:
