@@ -195,3 +195,10 @@ def larger_image(url: Column, retailer: str) -> Column:
     if retailer == "sainsburys":
         return F.regexp_replace(url, r"([?&])w=\d+", "$1w=800")
     return url
+
+
+def unescape(text: Column) -> Column:
+    """Character references of HTML as characters; an ampersand's own last."""
+    for entity, sign in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&pound;": "£", "&nbsp;": " ", "&amp;": "&"}.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text

@@ -49,9 +49,6 @@ QUERIES = {
     "page_link_addresses": lambda s, d: pages.links(_pages(s, d)).select("page_id", "link"),
     "page_titles": lambda s, d: pages.titles(_pages(s, d)),
     "page_next": lambda s, d: pages.next_pages(_pages(s, d)),
-    "page_details": lambda s, d: pages.details(_pages(s, d)),
-    "page_reviews": lambda s, d: pages.reviews(_pages(s, d)),
-    "page_product_links": lambda s, d: pages.product_links(_pages(s, d)),
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import urls
 from quayside.functions.numbers import decimal_price_to_pence, price_to_pence
-from quayside.functions.text import barcode, brand_from_title, page_quantity, parse_weight, review_id
+from quayside.functions.text import barcode, brand_from_title, page_quantity, parse_weight, review_id, unescape
 
 BLOCKED = "captcha|robot check|access denied|blocked"
 OFFER = "struct<price:string,availability:string,name:string,gtin13:string>"
@@ -24,12 +24,6 @@ def tag_text(html: Column, tag: str) -> Column:
     return F.nullif(unescape(F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]*>", " "), r"\s+", " "))), F.lit(""))
 
 
-def unescape(text: Column) -> Column:
-    for entity, sign in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&pound;": "£", "&nbsp;": " ", "&amp;": "&"}.items():
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
-
-
 def by_class(html: Column, *names: str) -> Column:
     """The text right inside the first element with one of the class names, or null."""
     return F.nullif(F.trim(unescape(F.regexp_extract(html, rf"(?is)<\w+[^>]*class=[\"'][^\"']*(?:{'|'.join(names)})[^\"']*[\"'][^>]*>\s*([^<]+)", 1))), F.lit(""))

@@ -1,0 +1,180 @@
+"""Reading pages by their elements: numbering, selectors, details, reviews, links and the registry."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from quayside.sources import elements as E, extractors as X, pages as P, selecting as S
+
+
+def table(spark, *pages):
+    return spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+
+
+# html, and (tag, text, depth, tag of the parent) of its elements in page order
+TREES = [
+    ("<p>a &lt;b&gt;<br>c</p>", [("p", "a <b>c", 0, None), ("br", "", 1, "p")]),
+    ("<ul><li>one<li>two<ul><li>in</ul><li>three</ul>", [("ul", "onetwointhree", 0, None), ("li", "one", 1, "ul"), ("li", "twoin", 1, "ul"), ("ul", "in", 2, "li"), ("li", "in", 3, "ul"), ("li", "three", 1, "ul")]),
+    ("<div><p>a<b>b<p>c</div><i>d</i></p>", [("div", "abc", 0, None), ("p", "ab", 1, "div"), ("b", "b", 2, "p"), ("p", "c", 1, "div"), ("i", "d", 0, None)]),
+    ("<table><tr><td>1<td>2<tr><th>3</table>x", [("table", "123", 0, None), ("tr", "12", 1, "table"), ("td", "1", 2, "tr"), ("td", "2", 2, "tr"), ("tr", "3", 1, "table"), ("th", "3", 2, "tr")]),
+    ("<b><p>x</b>y</p>", [("b", "x", 0, None), ("p", "x", 1, "b")]),
+    ("<!-- <p>no</p> --><script>if (a < b) '<p>';</script><div a='>' b=\">\">t < 3</div></p>", [("script", "", 0, None), ("div", "t < 3", 0, None)]),
+    ("<div><span>open", [("div", "open", 0, None), ("span", "open", 1, "div")]),
+    ("plain < text <b", []),
+]
+
+
+def test_trees(spark):
+    rows = table(spark, *(("u", html) for html, _ in TREES))
+    got = [[] for _ in TREES]
+    found = E.with_contents(E.elements(rows), rows).orderBy("page_id", "pre").collect()
+    tags = {(r.page_id, r.pre): r.tag for r in found}
+    for r in found:
+        assert r.pre <= r.post
+        got[r.page_id].append((r.tag, r.text, r.depth, tags.get((r.page_id, r.parent))))
+    assert got == [want for _, want in TREES]
+
+
+def test_pages_without_elements(spark):
+    rows = table(spark, ("u", None), ("u", ""), ("u", "<"), ("u", "x" * 100_000), ("u", "<p>" * 300 + "y"))
+    found = E.elements(rows)
+    assert found.groupBy("page_id").count().collect() == [(4, 300)]
+    assert E.elements(rows.limit(0)).count() == 0
+    assert X.details(rows).orderBy("page_id").select("title", "price_pence", "in_stock").collect() == [("Unknown Product", 0, True)] * 5
+    assert X.reviews(rows).count() == 0 and X.listing_urls(rows).count() == 0
+
+
+def test_attributes(spark):
+    rows = table(spark, ("u", """<a HREF='/x' class="b  a" data-n=5 checked data-n=6 title="&quot;q&quot;" />"""))
+    (a,) = (r.attributes for r in E.elements(rows).collect())
+    assert a == {"href": "/x", "class": "b  a", "data-n": "5", "checked": "", "title": '"q"'}
+
+
+SELECTED = """<div id=top class="card big"><h1 class=title>one</h1><section><p class="title old">two</p><div class=card><p>three</p><a href="/p/1?x" rel="next prev">l</a></div></section></div>
+<p>four</p><select><option>s</option><option selected class=o>m</option></select>"""
+
+
+SELECTORS = [
+    ("p", ["two", "three", "four"]), (".title", ["one", "two"]), ("h1.title", ["one"]), ("#top p", ["two", "three"]), ("#top > h1", ["one"]), ("#top > p", []), ("section > div.card p", ["three"]), (".card .card p", ["three"]),
+    (".title:not(.old)", ["one"]), ('a[href^="/p/"]', ["l"]), ('a[href$="?x"]', ["l"]), ('a[href*="1"]', ["l"]), ('[rel~="next"]', ["l"]), ('[rel="next"]', []), ("option:checked", ["m"]), ("h1, option", ["one", "s", "m"]),
+    ("div div p.title", []), ("[class]:not([id]).old", ["two"]), ("div.big.card > section p", ["two", "three"]),
+]
+
+
+def test_selectors(spark):
+    rows = table(spark, ("u", SELECTED))
+    rules = [("any", str(k), 0, selector) for k, (selector, _) in enumerate(SELECTORS)]
+    found = S.matches(E.elements(rows).withColumn("retailer", F.lit("any")), S.compile_rules(spark, [*rules, ("other", "0", 0, "p")]))
+    got = [[] for _ in SELECTORS]
+    for r in E.with_contents(found, rows).orderBy("pre").collect():
+        got[int(r.field)].append(r.text)
+    assert got == [texts for _, texts in SELECTORS]
+
+
+def test_selector_errors(spark):
+    for bad in ("", "p:hover", "a ~ b", "*", "p,"):
+        with pytest.raises(ValueError):
+            S.compile_rules(spark, [("any", "x", 0, bad)])
+
+
+def test_select_first_looks_at_first_elements_only(spark):
+    rows = table(spark, ("u", "<i></i><i>x</i><b> </b><u>y</u><u></u>"))
+    rules = S.compile_rules(spark, [("any", "f", 0, "i"), ("any", "f", 1, "b"), ("any", "f", 2, "em"), ("any", "f", 3, "u"), ("any", "f", 4, "i, u")])
+    found = E.with_contents(S.matches(E.elements(rows).withColumn("retailer", F.lit("any")), rules), rows)
+    assert [(r.rank, r.text) for r in S.select_first(found, F.col("text") != "").collect()] == [(3, "y")]
+    assert [r.rank for r in S.select_first(found).collect()] == [0]
+    assert [r.text for r in S.select_all(found).orderBy("pre").collect()] == ["", "x"]
+
+
+def test_inside_nested_boxes(spark):
+    rows = table(spark, ("u", "<div class=box><i>1</i><div class=box><i>2</i></div><i>3</i></div><i>4</i><div class=box><i>5</i></div>"), ("u", "<i>6</i>"))
+    rules = S.compile_rules(spark, [("any", "box", 0, ".box"), ("any", "i", 0, "i")])
+    found = E.with_contents(S.matches(E.elements(rows).withColumn("retailer", F.lit("any")), rules), rows)
+    boxed = S.inside(found, F.col("field") == "box")
+    pairs = {(r.text, r.box) for r in boxed.where("not is_box").collect()}
+    boxes = [r.pre for r in boxed.where("is_box").orderBy("pre").collect()]
+    assert pairs == {("1", boxes[0]), ("2", boxes[0]), ("2", boxes[1]), ("3", boxes[0]), ("5", boxes[2])}
+
+
+TESCO = "https://www.tesco.com/groceries/en-GB/products/123"
+
+
+def one(spark, url, html, registry=None):
+    return X.details(table(spark, (url, html)), registry).first()
+
+
+def test_details_by_elements(spark):
+    html = """<h1 data-auto="product-title"> </h1><div class="product-title">Lily's <b>Kitchen</b> 12 x 400g &amp; more</div><span data-auto="price-value" data-price="7.5">now</span><s class=price>&pound;9.00</s>
+        <div data-auto=clubcard-price-value>650p</div><p class=was-price>no price</p><span data-weight>4.8kg</span><div class=product-image><img src="/loading.gif"><img data-src=/a.jpg><img src=/a.jpg></div>
+        <ul class=breadcrumbs><a>Home</a><a>Dog Food</a><a>Home</a></ul><div class=unavailable></div><i data-ean="5012345678900"></i>"""
+    r = one(spark, TESCO, html)
+    assert (r.retailer, r.title, r.price_pence, r.original_price_pence, r.member_price_pence) == ("tesco", "Lily's Kitchen 12 x 400g & more", 750, 900, 650)
+    assert (r.weight_grams, r.quantity, r.images, r.category, r.in_stock, r.external_id, r.barcode, r.brand) == (4800, 12, ["/a.jpg"], "Dog Food", False, "123", "5012345678900", "Lily's Kitchen")
+
+
+def test_details_prefer_structured_data(spark):
+    data = '<script type="application/ld+json">{"@type": "Product", "name": "Told", "brand": {"name": "B"}, "image": ["/j.jpg"], "offers": [{"price": "3.20", "availability": "https://schema.org/InStock"}]}</script>'
+    html = data + "<h1>Other</h1><div class=out-of-stock></div><div class=product-image><img src=/t.jpg></div>"
+    r = one(spark, TESCO, html)
+    assert (r.title, r.brand, r.price_pence, r.in_stock, r.images) == ("Told", "B", 320, True, ["/j.jpg", "/t.jpg"])
+    # B&M's stock is its own mark's
+    r = one(spark, "https://www.bmstores.co.uk/p/9", html + "<div data-stock-status=OutOfStock></div>")
+    assert (r.in_stock, r.external_id) == (False, "9")
+
+
+def test_details_of_odd_pages(spark):
+    assert one(spark, "https://www.amazon.co.uk/dp/B000000001", "<p>Enter the characters you see below</p>") is None
+    assert one(spark, "https://www.ocado.com/products/x-1", "<title>Robot check</title>") is None
+    r = one(spark, "https://www.amazon.co.uk/dp/B000000001", "<span id=productTitle>T</span><a id=bylineInfo>Visit the Pedigree Store</a><div id=outOfStock></div>")
+    assert (r.title, r.brand, r.in_stock, r.external_id) == ("T", "Pedigree", False, "B000000001")
+    r = one(spark, "http://unknown.example.com", "<h1>Some Thing</h1><div class=price>12</div><input name=product_id value=77>")
+    assert (r.retailer, r.title, r.price_pence, r.external_id, r.in_stock) == (None, "Some Thing", 1200, "77", True)
+
+
+def test_a_twelfth_extractor(spark):
+    registry = X.standard().add(X.Extractor("corner-shop", r"corner\.example", (r"/item/\d+",), (r"/item/(\d+)",), {"title": (".name",), "price": ("b.cost",), "link": (".goods a",)}, blocked=("closed today",)))
+    rows = table(spark, ("https://corner.example/item/5", "<h1>no</h1><p class=name>Chew</p><b class=cost>£2.05</b>"), ("https://corner.example/item/6", "We are closed today"), (TESCO, "<h1>Tin</h1>"))
+    assert [(r.retailer, r.title, r.price_pence, r.external_id) for r in X.details(rows, registry).orderBy("page_id").collect()] == [("corner-shop", "Chew", 205, "5"), ("tesco", "Tin", 0, "123")]
+    lists = table(spark, ("https://corner.example/all", "<a href=/item/1>1</a><div class=goods><a href=/item/2>2</a><a href='https://corner.example/item/1'>1</a><a href=/about>a</a></div>"))
+    assert sorted(r.external_id for r in X.listing_urls(lists, registry).collect()) == ["1", "2"]
+    with pytest.raises(ValueError):
+        registry.add(X.Extractor("tesco", "x", ()))
+
+
+RATINGS = [
+    ("<div class=review-item data-score=4>{}</div>", 4.0), ("<div class=review-item><span class=rating>3.5 out of 5</span>{}</div>", 3.5), ("<div class=review-item><b class=star-rating aria-label='2 stars'></b>{}</div>", 2.0),
+    ("<div class=review-item><meta itemprop=ratingValue content=4.5>{}</div>", 4.5), ("<div class=review-item><i class='fa-star fa-star-o'></i><i class=fa-star></i><i class=star-full></i>{}</div>", 2.0),
+    ("<div class=review-item><div class=rating-stars style='width: 90%'></div>{}</div>", 4.5), ("<div class=review-item><em class=stars>1/5</em>{}</div>", 1.0), ("<div class=review-item>{}</div>", None), ("<div class=review-item data-rating=0>{}</div>", None),
+]
+
+
+def test_rating_sources(spark):
+    rows = table(spark, *((TESCO, html.format("<p>good</p>")) for html, _ in RATINGS))
+    got = {r.page_id: r.rating for r in X.reviews(rows).collect()}
+    assert got == {k: v for k, (_, v) in enumerate(RATINGS) if v is not None}
+
+
+def test_reviews_by_elements(spark):
+    html = """<div class=customer-review>not a box of the first rule</div><div class=review-item id=r1 data-rating=5><h3>Great</h3><p>Loved  it</p><span class=review-author>Jo</span><time datetime=2024-02-03T10:00:00Z>x</time>
+        Verified   buyer <span data-helpful-count=7></span></div><div class=review-item data-rating=2><div class=review-text> </div><p>Bad</p><span class=date>4th March 2024</span></div><div class=review-item data-rating=3></div>"""
+    one, two = X.reviews(table(spark, (TESCO, html))).orderBy(F.desc("rating")).collect()
+    assert (one.external_id, one.rating, one.author, one.title, one.body, one.verified_purchase, one.review_date, one.helpful_count) == ("r1", 5.0, "Jo", "Great", "Loved it", True, datetime.date(2024, 2, 3), 7)
+    assert two.external_id.startswith("tesco-review-") and two.external_id.endswith("-1")
+    assert (two.body, two.verified_purchase, two.review_date, two.helpful_count) == ("Bad", False, datetime.date(2024, 3, 4), 0)
+    # structured data, where there are reviews in it, is all that counts; blocked pages tell nothing
+    data = '<script type="application/ld+json">{"@type": "Product", "review": [{"reviewRating": {"ratingValue": 4}, "reviewBody": "told"}]}</script>'
+    assert [r.body for r in X.reviews(table(spark, (TESCO, data + html), (TESCO, "captcha" + html))).collect()] == ["told"]
+
+
+def test_listing_urls(spark):
+    asda = "https://groceries.asda.com/aisle/pets/dog-food/111?page=2"
+    html = """<a href='/product/tin/5?promo=1'>5</a><a href='/product/tin/5'>5</a><a href='https://www.tesco.com/groceries/en-GB/products/1'>other shop</a><script>{"skuId": "77", "u": "/product/big-tin/88"}</script>
+        <div class=pager><a href='?page=2'>2</a><a href='#'>3</a><a href='?page=3'>3</a></div>"""
+    rows = table(spark, (asda, html), ("https://www.ocado.com/browse/dog-food", "captcha <a href=/products/x-1>"), ("http://unknown.example.com", html), ("https://www.tesco.com/x", "<a rel=next href='javascript:x'></a><a class=next href='/more?page=9'>"))
+    got = {(r.page_id, r.kind, r.external_id, r.page) for r in X.listing_urls(rows).collect()}
+    assert got == {(0, "product", "5", None), (0, "product", "77", None), (0, "product", "88", None), (0, "pagination", None, 3), (3, "pagination", None, 9)}
+
+
+def test_helpers_left_in_pages(spark):
+    assert spark.range(1).select(P.tag_text(F.lit("<h1>a <b>b</b></h1>"), "h1").alias("t")).first().t == "a b"
