@@ -245,6 +245,23 @@ def user_alerts(drops: DataFrame, matches: DataFrame, alerts: DataFrame, cooldow
     return hit.where((F.col("target_price_pence") >= F.col("new_price_pence")) & rested).select("user_id", "product_id", "listing_id", "id", "dropped_at", "new_price_pence", "target_price_pence")
 
 
+def alerts_with_cooldown(drops: DataFrame, matches: DataFrame, alerts: DataFrame, cooldown_hours: int = fixed.PRICE_ALERT["cooldown_hours"]) -> DataFrame:
+    """As user_alerts, each alert that is sent also resting its user and product: of drops within the cooldown one alerts.
+
+    A user's and product's drops are folded in order, in one row: those of one product's listings that reach one user's target.
+    """
+    hit = drops.join(matches.select("listing_id", "product_id"), "listing_id").join(alerts.where("is_active"), "product_id").where(F.col("target_price_pence") >= F.col("new_price_pence"))
+    row = F.struct("dropped_at", "listing_id", "id", "new_price_pence", "target_price_pence")
+    grouped = hit.groupBy("user_id", "product_id").agg(F.array_sort(F.collect_list(row)).alias("x"), F.max("last_notified_at").alias("last"))
+    wait = F.expr(f"INTERVAL {int(cooldown_hours)} HOURS")
+    kind = grouped.schema["x"].dataType.simpleString()
+    start = F.struct(F.col("last").alias("last"), F.array().cast(kind).alias("sent"))
+    rested = lambda s, x: F.coalesce(s["last"] < x["dropped_at"] - wait, F.lit(True))
+    step = lambda s, x: F.when(rested(s, x), F.struct(x["dropped_at"].alias("last"), F.concat(s["sent"], F.array(x)).alias("sent"))).otherwise(s)
+    sent = grouped.select("user_id", "product_id", F.explode(F.aggregate("x", start, step)["sent"]).alias("s"))
+    return sent.select("user_id", "product_id", "s.listing_id", "s.id", "s.dropped_at", "s.new_price_pence", "s.target_price_pence")
+
+
 def anomalies(prices: DataFrame, percent: int = 50) -> DataFrame:
     """Listings and the number of ordered pairs of their prices that differ by more than ``percent`` of the earlier.
 

@@ -52,9 +52,14 @@ def one_of(values: tuple[str, ...], index: Column) -> Column:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as price observations: the extended price before, and after the discount."""
+    return price_columns(scan(spark, sf_dir, "lineitem"))
+
+
+def price_columns(lines: DataFrame) -> DataFrame:
+    """Line items, in batch or as a stream, as price observations."""
     original = pence(F.col("l_extendedprice"))
     percent = F.round(F.col("l_discount") * 100).cast("long")
-    return scan(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.col("l_partkey").alias("listing_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_shipdate").alias("recorded_at"),
