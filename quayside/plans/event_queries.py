@@ -98,6 +98,7 @@ def _window(span: str) -> str:
 
 # streams fold what their watermark has passed
 _PASSED = "created_at <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM crawl)"
+_OUTCOMES_PASSED = "created_at <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM crawl WHERE event IN ('completed', 'failed'))"
 _BEHIND = " AND recorded_at <= (SELECT max(recorded_at) - INTERVAL 1 DAY FROM prices)"
 _DROPS = f"SELECT listing_id, id, recorded_at AS dropped_at, b AS old_price_pence, price_pence AS new_price_pence FROM (SELECT *, lag(price_pence) OVER (PARTITION BY listing_id ORDER BY recorded_at, id, price_pence) AS b FROM prices) WHERE price_pence < b AND (b - price_pence) * 100 >= b * 20{_BEHIND}"
 _RECENT = "list_append(list_filter(s.t, lambda y: y.us >= x.us - INTERVAL 60 MINUTE), x)"
@@ -143,10 +144,10 @@ ORACLE_SQL = {
     "stream_circuits": sql("crawl", f""" SELECT retailer, unnest(s.out, recursive := true) FROM (SELECT retailer, list_reduce(list({{'us': created_at, 'bad': event = 'failed'}} ORDER BY created_at, id, event),
         lambda s, x: CASE WHEN s.until > x.us AND NOT x.bad THEN {{'t': []::STRUCT(us TIMESTAMP, bad BOOLEAN)[], 'until': TIMESTAMP '1970-01-01', 'out': s.out}} ELSE
           {_CIRCUIT} END, {{'t': []::STRUCT(us TIMESTAMP, bad BOOLEAN)[], 'until': TIMESTAMP '1970-01-01', 'out': []::STRUCT(opened_at TIMESTAMP, n INT, failed INT)[]}}) AS s
-        FROM crawl WHERE event IN ('completed', 'failed') AND {_PASSED} GROUP BY retailer)"""),
+        FROM crawl WHERE event IN ('completed', 'failed') AND {_OUTCOMES_PASSED} GROUP BY retailer)"""),
     "stream_health": sql("crawl", f""" SELECT retailer, unnest(s.out, recursive := true) FROM (SELECT retailer, list_reduce(list({{'us': created_at, 'bad': event = 'failed'}} ORDER BY created_at, id, event), lambda s, x: {_HEALTH},
         {{'c': 0, 'status': 'active', 'until': NULL::TIMESTAMP, 'out': []::STRUCT(changed_at TIMESTAMP, status VARCHAR, consecutive_failures INT, paused_until TIMESTAMP, refused BOOLEAN)[]}}) AS s
-        FROM crawl WHERE event IN ('completed', 'failed') AND {_PASSED} GROUP BY retailer)"""),
+        FROM crawl WHERE event IN ('completed', 'failed') AND {_OUTCOMES_PASSED} GROUP BY retailer)"""),
     "stream_enrichment": sql("crawl", """ SELECT c.crawl_id, c.id, c.event, c.created_at, s.created_at AS started_at, s.retailer FROM crawl c LEFT JOIN crawl s ON s.crawl_id = c.crawl_id AND s.event = 'started' AND s.created_at <= c.created_at AND s.created_at >= c.created_at - INTERVAL 1 DAY
         WHERE c.event IN ('completed', 'failed') AND (s.id IS NOT NULL OR c.created_at < (SELECT max(created_at) - INTERVAL 1 HOUR FROM crawl))"""),
     "stream_follow_ups": sql("crawl", " SELECT DISTINCT retailer, '/p/' || (crawl_id % 40) AS url FROM crawl WHERE event = 'discovered'"),
