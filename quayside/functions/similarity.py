@@ -28,7 +28,8 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-similar_text = F.pandas_udf(_similar, DoubleType())
+# not deterministic only by name: filters on it then stay above what gives each pair once, and it is worked out once
+similar_text = F.pandas_udf(_similar, DoubleType()).asNondeterministic()
 """Percentage of characters in common. Not symmetric. 0 for two empty texts, null for null."""
 
 

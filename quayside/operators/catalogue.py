@@ -32,6 +32,12 @@ class Filters:
     page: int = 1
     per_page: int = 15
 
+    @classmethod
+    def in_pounds(cls, min_pounds: float | None = None, max_pounds: float | None = None, **others) -> Filters:
+        """Filters whose prices are given in pounds."""
+        pence = lambda x: None if x is None else round(x * 100)
+        return cls(min_price=pence(min_pounds), max_price=pence(max_pounds), **others)
+
     def __post_init__(self):
         if self.text is not None and not 2 <= len(self.text) <= 200:
             raise ValueError("a search text has 2 to 200 characters")

@@ -62,12 +62,14 @@ def status_counts(retailers: DataFrame) -> DataFrame:
     return every.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def retailer_summary(retailers: DataFrame, as_of: Column) -> DataFrame:
+def retailer_summary(retailers: DataFrame, as_of: Column, listings: DataFrame) -> DataFrame:
+    """One row: all retailers, those to crawl, with problems, crawled within a day, and all their listings."""
     from quayside.operators.filters import problem
 
-    return retailers.agg(
+    held = listings.groupBy(F.col("retailer_id").alias("id")).agg(F.count(F.lit(1)).alias("held"))
+    return retailers.join(held, "id", "left").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(crawlable()).alias("crawlable"), F.count_if(problem()).alias("with_problems"),
-        F.count_if(F.col("last_crawled_at") >= as_of - hours(24)).alias("crawled_last_day"),
+        F.count_if(F.col("last_crawled_at") >= as_of - hours(24)).alias("crawled_last_day"), F.coalesce(F.sum("held"), F.lit(0).cast("long")).alias("listings"),
     )
 
 

@@ -85,10 +85,21 @@ def verify(matches: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame
 
 
 def bulk_approvable(matches: DataFrame, least: float = 95, most: int = 100) -> DataFrame:
-    """The first ``most`` pending matches of that confidence, by id."""
+    """The first ``most`` (1 to 500) pending matches of at least that confidence (80 to 100), by id."""
+    if not 80 <= least <= 100 or not 1 <= most <= 500:
+        raise ValueError("a confidence from 80 to 100, and 1 to 500 matches")
     return matches.where((F.col("status") == "pending") & (F.col("confidence_score") >= least)).orderBy("listing_id").limit(most)
 
 
+def bulk_approve(matches: DataFrame, least: float, most: int, user_id: int, as_of: Column) -> DataFrame:
+    """All matches, those of ``bulk_approvable`` approved."""
+    chosen = bulk_approvable(matches, least, most).select("listing_id", F.lit(True).alias("chosen"))
+    out = matches.join(F.broadcast(chosen), "listing_id", "left")  # at most 500 rows
+    now = lambda c, value: F.when(F.col("chosen"), value).otherwise(F.col(c)).alias(c)
+    changed = {"status": F.lit("approved"), "verified_by": F.lit(user_id).cast("long"), "verified_at": as_of}
+    return out.select(*[now(c, changed[c]) if c in changed else c for c in matches.columns])
+
+
 def fill_categories(products: DataFrame) -> DataFrame:
     """Products with their canonical category, and whether it changed."""
     new = normalize_category(F.col("category"))

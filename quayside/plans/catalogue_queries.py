@@ -55,7 +55,9 @@ QUERIES = {
     "failure_rates": lambda s, d: M.failure_rates(T.retailers(s, d), T.listings(s, d), _now(s, d)),
     "inactive_entities": lambda s, d: M.inactive(T.retailers(s, d), _now(s, d)).select("id", "last_crawled_at"),
     "status_counts": lambda s, d: M.status_counts(T.retailers(s, d)),
-    "retailer_summary": lambda s, d: M.retailer_summary(T.retailers(s, d), _now(s, d)),
+    "catalogue_filter_pounds": lambda s, d: C.filtered(T.products(s, d), C.Filters.in_pounds(min_pounds=950.5, max_pounds=1000, canonical_category="treats")).select("id", "name", "lowest_price_pence"),
+    "bulk_approve": lambda s, d: U.bulk_approve(T.matches(s, d), 80, 100, 7, F.expr("TIMESTAMP '2001-12-01 00:00:00'")).select("listing_id", "status", "verified_by", "verified_at"),
+    "retailer_summary": lambda s, d: M.retailer_summary(T.retailers(s, d), _now(s, d), T.listings(s, d)),
     "match_type_counts": lambda s, d: M.match_statistics(T.listings(s, d), T.matches(s, d).where("status <> 'rejected'")),
     "verification_counts": lambda s, d: M.verification_counts(T.matches(s, d)),
     "verifier_activity": lambda s, d: M.verifier_activity(T.matches(s, d)),
@@ -126,7 +128,11 @@ ORACLE_SQL = {
         count(*) FILTER (last_scraped_at IS NULL OR last_scraped_at < {_HOURS(24)}) AS failed FROM listings, now_ GROUP BY 1) g ON g.retailer_id = r.id WHERE status IN ('active', 'degraded') AND failed >= total * 0.2"""),
     "inactive_entities": sql("retailers now_", f" SELECT id, last_crawled_at FROM retailers, now_ WHERE status IN ('active', 'degraded') AND (last_crawled_at IS NULL OR last_crawled_at < {_HOURS(24)})"),
     "status_counts": sql("retailers", " SELECT v.status, count(r.id) AS n FROM (VALUES ('active'), ('paused'), ('disabled'), ('degraded'), ('failed'), ('all')) v(status) LEFT JOIN retailers r ON r.status = v.status OR v.status = 'all' GROUP BY 1"),
-    "retailer_summary": sql("retailers now_", f" SELECT count(*) AS total, count(*) FILTER (status IN ('active', 'degraded')) AS crawlable, count(*) FILTER (status IN ('paused', 'degraded', 'failed')) AS with_problems, count(*) FILTER (last_crawled_at >= {_HOURS(24)}) AS crawled_last_day FROM retailers, now_"),
+    "catalogue_filter_pounds": sql("products", " SELECT id, name, lowest_price_pence FROM products WHERE canonical_category = 'treats' AND lowest_price_pence BETWEEN 95050 AND 100000"),
+    "bulk_approve": sql("matches", """, chosen AS (SELECT listing_id FROM matches WHERE status = 'pending' AND c >= 80 ORDER BY listing_id LIMIT 100)
+        SELECT listing_id, CASE WHEN x THEN 'approved' ELSE status END AS status, CASE WHEN x THEN 7 ELSE verified_by END AS verified_by, CASE WHEN x THEN TIMESTAMP '2001-12-01 00:00:00' ELSE verified_at END AS verified_at
+        FROM (SELECT *, listing_id IN (SELECT listing_id FROM chosen) AS x FROM matches)"""),
+    "retailer_summary": sql("retailers now_", f" SELECT count(*) AS total, count(*) FILTER (status IN ('active', 'degraded')) AS crawlable, count(*) FILTER (status IN ('paused', 'degraded', 'failed')) AS with_problems, count(*) FILTER (last_crawled_at >= {_HOURS(24)}) AS crawled_last_day, (SELECT count(*) FROM part WHERE p_partkey % 10 IN (SELECT s_suppkey FROM supplier)) AS listings FROM retailers, now_"),
     "match_type_counts": sql("listings matches", """ SELECT v.t AS match_type, CASE WHEN v.t = 'unmatched' THEN (SELECT count(*) FROM listings WHERE id NOT IN (SELECT listing_id FROM matches WHERE status <> 'rejected'))
         ELSE (SELECT count(*) FROM matches WHERE match_type = v.t AND status <> 'rejected') END AS n FROM (VALUES ('exact'), ('fuzzy'), ('barcode'), ('manual'), ('unmatched')) v(t)"""),
     "verification_counts": sql("matches", " SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected, count(*) AS total, count(*) FILTER (status = 'pending' AND c >= 90) AS high_confidence_pending FROM matches"),

@@ -33,6 +33,7 @@ QUERIES = {
     "title_similarity": lambda s, d: _pairs(s, d).select("a", "b", similarity.title_similarity(F.col("a"), F.col("b")).alias("similarity")),
     "match_candidates": lambda s, d: matching.candidates(T.listings(s, d), T.products(s, d)),
     "match_best": lambda s, d: matching.best(matching.candidates(T.listings(s, d), T.products(s, d))),
+    "match_pipeline": lambda s, d: matching.match(T.listings(s, d), T.products(s, d).where("is_verified"), T.matches(s, d).where("status = 'approved'")),
     "unmatched_listings": lambda s, d: matching.unmatched(T.listings(s, d), T.matches(s, d).where("status <> 'rejected'")).select("id", "title"),
     "new_products": lambda s, d: matching.new_products(T.listings(s, d)).select("brand", "title", "weight", "product_id", F.size("listing_ids").alias("n")),
     "allergens": lambda s, d: _ingredients(s, d).select("ingredients", F.array_join(ingredients.allergens(ingredients.names(F.col("ingredients"))), ",").alias("allergens")),

@@ -1,7 +1,7 @@
-"""Fetched pages (page_id, url, html) as tables of links, next pages, product details and reviews.
+"""Fetched pages (page_id, url, html) as tables of links, next pages, titles, and what their structured data tells.
 
-Pages are read with regular expressions and Spark's JSON functions, so nothing leaves the JVM. Structured data comes
-first; tags are the fallback. Every row of a page stays a row of Spark's plan: wide pages explode, they don't loop.
+Pages are read with regular expressions and Spark's JSON functions, so nothing leaves the JVM. Every row of a page stays a
+row of Spark's plan: wide pages explode, they don't loop. What stands in elements is read by ``extractors``.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import urls
-from quayside.functions.numbers import decimal_price_to_pence, price_to_pence
-from quayside.functions.text import barcode, brand_from_title, page_quantity, parse_weight, review_id, unescape
+from quayside.functions.text import review_id, unescape
 
 BLOCKED = "captcha|robot check|access denied|blocked"
 OFFER = "struct<price:string,availability:string,name:string,gtin13:string>"
@@ -24,15 +23,6 @@ def tag_text(html: Column, tag: str) -> Column:
     return F.nullif(unescape(F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]*>", " "), r"\s+", " "))), F.lit(""))
 
 
-def by_class(html: Column, *names: str) -> Column:
-    """The text right inside the first element with one of the class names, or null."""
-    return F.nullif(F.trim(unescape(F.regexp_extract(html, rf"(?is)<\w+[^>]*class=[\"'][^\"']*(?:{'|'.join(names)})[^\"']*[\"'][^>]*>\s*([^<]+)", 1))), F.lit(""))
-
-
-def attribute(html: Column, name: str) -> Column:
-    return urls.extracted(html, rf"(?is)\s{name}=[\"']([^\"']*)[\"']")
-
-
 def hrefs(html: Column) -> Column:
     """Distinct addresses of links, in order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"']"), F.lit(1)))
@@ -77,41 +67,6 @@ def _either(json: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(json, p)), F.lit("")) for p in paths])
 
 
-def details(pages: DataFrame) -> DataFrame:
-    """Product details of each page, blocked ones left out: structured data, then tags, then defaults."""
-    html, url = F.col("html"), F.col("url")
-    rows = pages.where(~F.lower(html).rlike("robot check|enter the characters you see")).withColumn("j", json_ld(html))
-    j = F.col("j")
-    title = F.coalesce(_either(j, "$.name"), tag_text(html, "h1"))
-    offers = F.coalesce(F.from_json(F.get_json_object(j, "$.offers"), f"array<{OFFER}>"), F.array(F.from_json(F.get_json_object(j, "$.offers"), OFFER)))
-    first = lambda field: F.get(F.filter(F.transform(offers, lambda o: o[field]), lambda x: F.coalesce(x != "", F.lit(False))), F.lit(0))
-    stock = F.lower(first("availability"))
-    price = F.coalesce(decimal_price_to_pence(first("price")), price_to_pence(attribute(html, "data-price")), price_to_pence(by_class(html, "price__current", "product-price", "price")))
-    images = F.coalesce(F.from_json(F.get_json_object(j, "$.image"), "array<string>"), F.filter(F.array(_either(j, "$.image.url", "$.image")), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\s[^>]*?(?:\s|^)(?:data-lazy-src|data-src|src)=[\"']([^\"']+)[\"']"), F.lit(1))
-    pictures = F.filter(F.array_distinct(F.concat(images, tags)), lambda x: ~F.lower(x).rlike("placeholder|loading|data:"))
-    code = _either(j, "$.gtin13", "$.gtin", "$.gtin8", "$.gtin14", "$.gtin12", "$.ean", "$.upc", "$.identifier", "$.productID", "$.offers.gtin13")
-    brand = F.coalesce(_either(j, "$.brand.name"), F.when(~F.get_json_object(j, "$.brand").startswith("{"), _either(j, "$.brand")), by_class(html, "product-brand", "brand"), brand_from_title(title))
-    out_of_stock = html.rlike(r"(?is)class=[\"'][^\"']*(?:out-of-stock|outofstock|sold-out)")
-    return rows.select(
-        "page_id", url, urls.retailer_of(url).alias("retailer"),
-        F.coalesce(title, F.lit("Unknown Product")).alias("title"),
-        F.coalesce(_either(j, "$.description"), by_class(html, "product-description", "description")).alias("description"),
-        brand.alias("brand"),
-        F.coalesce(price, F.lit(0)).alias("price_pence"),
-        price_to_pence(by_class(html, "price__was", "was-price", "original-price")).alias("original_price_pence"),
-        F.lit("GBP").alias("currency"),
-        F.coalesce(parse_weight(first("name")), parse_weight(by_class(html, "weight", "size")), parse_weight(title)).alias("weight_grams"),
-        page_quantity(title).alias("quantity"),
-        pictures.alias("images"),
-        by_class(html, "ingredients").alias("ingredients"),
-        F.when(stock.rlike("instock|in_stock"), True).when(stock.rlike("outofstock|out_of_stock"), False).otherwise(~out_of_stock).alias("in_stock"),
-        F.coalesce(urls.external_id(url), _either(j, "$.sku", "$.productID")).alias("external_id"),
-        urls.category(url).alias("category"),
-        barcode(code).alias("barcode"),
-    )
-
-
 def nutrition(html: Column) -> Column:
     """A map of the page's two-column table rows."""
     cells = r"(?is)<tr[^>]*>\s*<t[dh][^>]*>\s*([^<]+?)\s*</t[dh]>\s*<td[^>]*>\s*([^<]+?)\s*</td>"
@@ -143,10 +98,3 @@ def review_date(text: Column) -> Column:
     stamp = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
     read = lambda c, f: F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit(f)).cast("date")
     return F.coalesce(read(stamp, "yyyy-MM-dd"), read(day, "d MMMM yyyy"), read(day, "d MMM yyyy"))
-
-
-def star_rating(text: Column) -> Column:
-    """'4.5 out of 5', '4/5', '4 stars', 'width: 80%' as stars."""
-    number = urls.extracted(text, r"(?i)(\d(?:\.\d)?)\s*(?:/\s*5|out of 5|stars?)").try_cast("double")
-    width = urls.extracted(text, r"(?i)width:\s*(\d{1,3}(?:\.\d+)?)%").try_cast("double")
-    return F.coalesce(number, F.round(width / 20, 1))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import ingredients, numbers, sentiment, text, urls
 from quayside.functions.similarity import common_chars
-from quayside.sources import pages
+from quayside.sources import extractors, pages
 
 
 def value(spark, column):
@@ -127,12 +127,10 @@ PRODUCT = """<html><head><title>t</title><script type="application/ld+json">{"@g
 def test_pages(spark):
     url = "https://www.petsathome.com/product/dog-food/P71"
     rows = spark.createDataFrame([(1, url, PRODUCT), (2, "https://none.example/", ""), (3, "https://none.example/", None)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in pages.details(rows).collect()}
+    got = {r.page_id: r for r in extractors.details(rows).collect()}
     assert (got[1].title, got[1].brand, got[1].price_pence, got[1].weight_grams, got[1].in_stock, got[1].barcode, got[1].external_id) == ("Acme Dry Dog Food 12kg", "Acme", 2499, 12000, False, "5012345678900", "P71")
     assert (got[2].title, got[2].price_pence, got[2].in_stock) == ("Unknown Product", 0, True)
     assert [(r.rating, r.author, str(r.review_date)) for r in pages.reviews(rows).collect()] == [(4.0, "Jo", "2024-01-15")]
     assert [r.external_id for r in pages.product_links(rows).collect()] == ["ABC1"]
     assert pages.next_pages(rows).where("page_id = 1").first().next_url.endswith("?page=2")
     assert value(spark, pages.nutrition(F.lit(PRODUCT))) == {"Protein": "25%"}
-    assert value(spark, pages.star_rating(F.lit("4.5 out of 5"))) == 4.5
-    assert value(spark, pages.star_rating(F.lit("width: 80%"))) == 4.0
