@@ -183,11 +183,12 @@ def _found(spark: SparkSession, pages: DataFrame, registry: Registry, fields: di
     return with_contents(matches(rows, compile_rules(spark, registry.rules(fields))), pages)
 
 
-def gather(found: DataFrame, accept: Column, listed: tuple[str, ...], *within: str) -> DataFrame:
-    """page_id (and ``within``), g: for each field and rank whether its first element is accepted, that element, how many there are, and,
-    for ``listed`` fields, all of them in page order. ``first_of``, ``all_of`` and ``count_of`` read it."""
-    value = F.struct("pre", "text", "attributes", F.when(F.col("field").isin("review", "verified"), F.col("html")).alias("html"))
-    shown = F.when(F.col("field").isin(*listed), value) if listed else F.lit(None).cast("struct<pre:int,text:string,attributes:map<string,string>,html:string>")
+def gather(found: DataFrame, accept: Column, listed: tuple[str, ...], *within: str, read: tuple[str, ...] = ()) -> DataFrame:
+    """page_id (and ``within``), g: for each field and rank whether its first element is accepted, that element (with the columns
+    ``read`` of ``found``), how many there are, and, for ``listed`` fields, all of them in page order. ``first_of``, ``every``,
+    ``has`` and ``count_of`` read it."""
+    value = F.struct("pre", "text", "attributes", F.when(F.col("field") == "review", F.col("html")).alias("html"), *read)
+    shown = F.when(F.col("field").isin(*listed) if listed else F.lit(False), value)
     ranked = found.groupBy("page_id", *within, "field", "rank").agg(
         F.min_by(F.struct(F.coalesce(accept, F.lit(False)).alias("accepted"), value.alias("value")), "pre").alias("head"), F.array_sort(F.collect_list(shown), lambda a, b: a["pre"] - b["pre"]).alias("items"), F.count(F.lit(1)).alias("n")
     )
@@ -244,20 +245,25 @@ def details(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     registry, spark = registry or standard(), pages.sparkSession
     url, html = F.col("url"), F.col("html")
     rows = pages.where(~F.coalesce(registry.is_blocked(url, html), F.lit(False))).withColumn("retailer", F.coalesce(registry.retailer_of(url), F.lit(ANY)))
-    text, attributes = F.col("text"), F.col("attributes")
+    text, attributes, name = F.col("text"), F.col("attributes"), F.col("field")
+    # what an element says, read once
+    found = _found(spark, rows, registry, COMMON_DETAILS).withColumns(
+        {
+            "pence": F.when(name.isin("price", "member_price", "rollback_price"), element_price(text, attributes)).when(name == "original_price", original_price(text, attributes)),
+            "named": F.when(name == "brand", element_brand(text, attributes)).when(name == "product_id", _own_id(attributes)).when(name == "code", _own_code(text, attributes)),
+            "grams": F.when(name == "weight", parse_weight(text)),
+        }
+    )
     accept = (
-        F.when(F.col("field").isin("price", "member_price", "rollback_price"), element_price(text, attributes).isNotNull())
-        .when(F.col("field") == "original_price", original_price(text, attributes).isNotNull())
-        .when(F.col("field") == "brand", element_brand(text, attributes).isNotNull())
-        .when(F.col("field") == "weight", parse_weight(text).isNotNull())
-        .when(F.col("field") == "offer", multi_buy(text).isNotNull())
-        .when(F.col("field") == "product_id", _own_id(attributes).isNotNull())
-        .when(F.col("field") == "code", _own_code(text, attributes).isNotNull())
-        .when(F.col("field").isin("title", "description", "ingredients", "unit_price"), text != "")
+        F.when(name.isin("price", "member_price", "rollback_price", "original_price"), F.col("pence").isNotNull())
+        .when(name.isin("brand", "product_id", "code"), F.col("named").isNotNull())
+        .when(name == "weight", F.col("grams").isNotNull())
+        .when(name == "offer", multi_buy(text).isNotNull())
+        .when(name.isin("title", "description", "ingredients", "unit_price"), text != "")
         .otherwise(True)
     )
     g, j = F.col("g"), F.col("j")
-    read = rows.withColumn("j", P.json_ld(html)).join(gather(_found(spark, rows, registry, COMMON_DETAILS), accept, ("image", "crumb")), "page_id", "left")
+    read = rows.withColumn("j", P.json_ld(html)).join(gather(found, accept, ("image", "crumb"), read=("pence", "named", "grams")), "page_id", "left")
     either = P._either
     first = lambda name: first_of(g, name)
     title = F.coalesce(either(j, "$.name"), first("title")["text"])
@@ -270,27 +276,26 @@ def details(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     images = F.coalesce(F.from_json(F.get_json_object(j, "$.image"), "array<string>"), F.filter(F.array(either(j, "$.image.url", "$.image")), lambda x: x.isNotNull()), F.array().cast("array<string>"))
     tags = F.transform(F.flatten(F.transform(every(g, "image"), lambda x: x["items"])), lambda i: F.coalesce(i["attributes"]["src"], i["attributes"]["data-src"], i["attributes"]["data-lazy-src"]))
     tags = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda x: x.isNotNull() & ~F.lower(x).rlike("placeholder|loading|data:"))
-    brand = F.coalesce(either(j, "$.brand.name"), F.when(~F.get_json_object(j, "$.brand").startswith("{"), either(j, "$.brand")), element_brand(first("brand")["text"], first("brand")["attributes"]))
+    brand = F.coalesce(either(j, "$.brand.name"), F.when(~F.get_json_object(j, "$.brand").startswith("{"), either(j, "$.brand")), first("brand")["named"])
     noise = registry._chosen(url, lambda x: reduce(lambda c, p: F.regexp_replace(c, p, ""), x.brand_noise, brand))
-    code = F.coalesce(barcode(either(j, "$.gtin13", "$.gtin", "$.gtin8", "$.gtin14", "$.gtin12", "$.ean", "$.upc", "$.identifier", "$.productID", "$.offers.gtin13")), barcode(_own_code(first("code")["text"], first("code")["attributes"])))
-    price_of = lambda name: element_price(first(name)["text"], first(name)["attributes"])
+    code = F.coalesce(barcode(either(j, "$.gtin13", "$.gtin", "$.gtin8", "$.gtin14", "$.gtin12", "$.ean", "$.upc", "$.identifier", "$.productID", "$.offers.gtin13")), barcode(first("code")["named"]))
     return read.select(
         "page_id", url, F.nullif("retailer", F.lit(ANY)).alias("retailer"),
         F.coalesce(title, F.lit("Unknown Product")).alias("title"),
         F.coalesce(either(j, "$.description"), first("description")["text"]).alias("description"),
         F.coalesce(F.nullif(F.trim(F.coalesce(noise, brand)), F.lit("")), brand_from_title(title)).alias("brand"),
-        F.coalesce(decimal_price_to_pence(offered("price")), price_of("price"), F.lit(0)).alias("price_pence"),
-        original_price(first("original_price")["text"], first("original_price")["attributes"]).alias("original_price_pence"),
-        price_of("member_price").alias("member_price_pence"),
-        price_of("rollback_price").alias("rollback_price_pence"),
+        F.coalesce(decimal_price_to_pence(offered("price")), first("price")["pence"], F.lit(0)).alias("price_pence"),
+        first("original_price")["pence"].alias("original_price_pence"),
+        first("member_price")["pence"].alias("member_price_pence"),
+        first("rollback_price")["pence"].alias("rollback_price_pence"),
         multi_buy(first("offer")["text"]).alias("offer"),
         F.lit("GBP").alias("currency"),
-        F.coalesce(parse_weight(offered("name")), parse_weight(first("weight")["text"]), parse_weight(title)).alias("weight_grams"),
+        F.coalesce(parse_weight(offered("name")), first("weight")["grams"], parse_weight(title)).alias("weight_grams"),
         page_quantity(title).alias("quantity"),
         F.array_distinct(F.concat(images, tags)).alias("images"),
         first("ingredients")["text"].alias("ingredients"),
         F.coalesce(told, marked, ~has(g, "out_of_stock")).alias("in_stock"),
-        F.coalesce(registry.external_id(url), either(j, "$.sku", "$.productID"), _own_id(first("product_id")["attributes"])).alias("external_id"),
+        F.coalesce(registry.external_id(url), either(j, "$.sku", "$.productID"), first("product_id")["named"]).alias("external_id"),
         F.coalesce(crumb_category(g), urls.category(url)).alias("category"),
         code.alias("barcode"),
     )
