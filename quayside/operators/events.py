@@ -6,13 +6,15 @@ order is (created_at, id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed
 from quayside.functions.numbers import rounded_mean, rounded_ratio
+from quayside.operators.prefix import running, within
 
 ORDER = ("created_at", "id")
+HOUR = 3_600_000_000  # microseconds
 
 
 def seconds(column: str = "created_at") -> Column:
@@ -63,35 +65,43 @@ def outcomes(events: DataFrame) -> DataFrame:
 
 
 def sliding_failure_rate(events: DataFrame, minutes: int = fixed.CIRCUIT["window_minutes"]) -> DataFrame:
-    """At each outcome the failure rate of its retailer's last ``minutes``, and whether the circuit opens."""
-    window = Window.partitionBy("retailer").orderBy(seconds()).rangeBetween(-minutes * 60_000_000, 0)
-    n, failed = F.count(F.lit(1)).over(window), F.count_if(F.col("event") == "failed").over(window)
-    rows = outcomes(events).select("retailer", "id", "created_at", n.alias("n"), failed.alias("failed"))
+    """At each outcome the failure rate of its retailer's last ``minutes``, and whether the circuit opens.
+
+    A retailer's outcomes are spread over its hours.
+    """
+    rows = outcomes(events).select("retailer", "id", "created_at", "event", seconds().alias("us"))
+    found = within(rows, ["retailer"], "us", minutes * 60_000_000, HOUR, {"n": F.lit(1), "failed": F.col("event") == "failed"})
+    rows = rows.drop("event").join(found, ["retailer", "us"]).drop("us")
     opens = (F.col("n") >= fixed.CIRCUIT["least_crawls"]) & (F.col("failed") * 100 >= F.col("n") * fixed.CIRCUIT["failure_percent"])
     return rows.withColumn("failure_rate", rounded_ratio(F.col("failed") * 100, F.col("n"), 2)).withColumn("opens", opens)
 
 
 def health(events: DataFrame, hours: int = fixed.HEALTH["window_hours"]) -> DataFrame:
-    """At each outcome the success rate, mean duration and last success of its retailer's last ``hours``."""
-    window = Window.partitionBy("retailer").orderBy(seconds()).rangeBetween(-hours * 3_600_000_000, 0)
+    """At each outcome the success rate, mean duration and last success of its retailer's last ``hours``, spread over its hours."""
     done = F.col("event") == "completed"
-    time = F.when(done, F.col("duration_ms"))
-    rows = outcomes(events).select(
-        "retailer", "id", F.count(F.lit(1)).over(window).alias("n"), F.count_if(done).over(window).alias("completed"),
-        F.sum(time).over(window).alias("total"), F.count(time).over(window).alias("timed"), F.max(F.when(done, F.col("created_at"))).over(window).alias("last_success_at"),
-    )
-    return rows.select("retailer", "id", rounded_ratio(F.col("completed") * 100, F.col("n"), 2).alias("success_rate"), (rounded_ratio(F.col("total"), F.col("timed") * 10) / 100).alias("average_seconds"), "last_success_at")
+    rows = outcomes(events).select("retailer", "id", "created_at", "event", "duration_ms", seconds().alias("us"))
+    time, width = F.when(done, F.col("duration_ms")), hours * HOUR
+    found = within(rows, ["retailer"], "us", width, HOUR, {"n": F.lit(1), "completed": done, "total": time, "timed": time.isNotNull()})
+    times = rows.groupBy("retailer", "us").agg(F.max(F.when(done, F.col("created_at"))).alias("success"))
+    last = running(times, ["retailer"], F.floor(F.col("us") / HOUR), [F.col("us")], maxes={"last_success_at": F.col("success")}).select("retailer", "us", "last_success_at")
+    rows = rows.select("retailer", "id", "us").join(found, ["retailer", "us"]).join(last, ["retailer", "us"])
+    recent = F.when(F.unix_micros(F.col("last_success_at").cast("timestamp")) >= F.col("us") - width, F.col("last_success_at"))
+    average = (rounded_ratio(F.when(F.col("timed") > 0, F.col("total")), F.col("timed") * 10) / 100).alias("average_seconds")
+    return rows.select("retailer", "id", rounded_ratio(F.col("completed") * 100, F.col("n"), 2).alias("success_rate"), average, recent.alias("last_success_at"))
 
 
 def failure_streaks(events: DataFrame) -> DataFrame:
-    """At each outcome the failures of its retailer in a row, and the status they lead to."""
-    order = Window.partitionBy("retailer").orderBy(*ORDER)
-    island = F.count_if(F.col("event") == "completed").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = outcomes(events).withColumn("island", island)
-    own = Window.partitionBy("retailer", "island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("consecutive_failures", F.count_if(F.col("event") == "failed").over(own))
+    """At each outcome the failures of its retailer in a row, and the status they lead to.
+
+    Failures so far less those up to the last success, both as running values spread over the retailer's hours.
+    """
+    rows = outcomes(events).select("retailer", "id", "created_at", "event", seconds().alias("us"))
+    order, hour = [F.col(c) for c in ORDER], F.floor(F.col("us") / HOUR)
+    counted = running(rows, ["retailer"], hour, order, sums={"failures": F.col("event") == "failed"})
+    counted = running(counted, ["retailer"], hour, order, maxes={"settled": F.when(F.col("event") == "completed", F.col("failures"))})
+    streak = (F.col("failures") - F.coalesce("settled", F.lit(0))).alias("consecutive_failures")
     status = F.when(F.col("consecutive_failures") >= fixed.HEALTH["failed_after"], "failed").when(F.col("consecutive_failures") >= fixed.HEALTH["degraded_after"], "degraded").otherwise("active")
-    return rows.select("retailer", "id", "created_at", "event", "consecutive_failures", status.alias("status"))
+    return counted.select("retailer", "id", "created_at", "event", streak).withColumn("status", status)
 
 
 def failure_sessions(events: DataFrame, gap_minutes: int = fixed.FAILURE_ALERT["gap_minutes"], least: int = fixed.FAILURE_ALERT["failures"]) -> DataFrame:
