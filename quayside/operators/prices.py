@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import fixed
 from quayside.functions.numbers import change_percent, days_between, discount_percent, drop_percent, pattern_class, rounded_mean, rounded_ratio, sample_deviation, savings_percent, trend_indicator
+from quayside.operators.prefix import running
 
 ORDER = ("recorded_at", "id", "price_pence")
 
@@ -262,17 +263,47 @@ def alerts_with_cooldown(drops: DataFrame, matches: DataFrame, alerts: DataFrame
     return sent.select("user_id", "product_id", "s.listing_id", "s.id", "s.dropped_at", "s.new_price_pence", "s.target_price_pence")
 
 
-def anomalies(prices: DataFrame, percent: int = 50) -> DataFrame:
+def anomalies(prices: DataFrame, percent: int = 50, in_row: int = 2_000) -> DataFrame:
     """Listings and the number of ordered pairs of their prices that differ by more than ``percent`` of the earlier.
 
-    All pairs in time are compared, not only neighbours, but never listed: a price's partners are counted within its
-    listing's sorted list of earlier prices.
+    All pairs in time are compared, not only neighbours, but never listed. A listing of at most ``in_row`` prices has them in one row;
+    larger ones are counted by ``far_pairs``.
     """
-    rows = prices.where(F.col("price_pence").isNotNull()).select("listing_id", "recorded_at", "price_pence")
-    at = rows.groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct("recorded_at", "price_pence"))).alias("x"))
+    rows = prices.where(F.col("price_pence").isNotNull() & F.col("recorded_at").isNotNull()).select("listing_id", "recorded_at", "price_pence")
+    sized = rows.join(rows.groupBy("listing_id").agg(F.count(F.lit(1)).alias("n")), "listing_id")
+    at = sized.where(F.col("n") <= in_row).groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct("recorded_at", "price_pence"))).alias("x"))
     far = lambda a, b: (a["recorded_at"] < b["recorded_at"]) & (a["price_pence"] > 0) & (F.abs(b["price_pence"] - a["price_pence"]) * 100 > a["price_pence"] * percent)
     count = F.aggregate("x", F.lit(0).cast("long"), lambda n, b: n + F.size(F.filter("x", lambda a: far(a, b))))
-    return at.select("listing_id", count.alias("anomalies")).where("anomalies > 0")
+    counted = at.select("listing_id", count.alias("anomalies")).unionByName(far_pairs(sized.where(F.col("n") > in_row).drop("n"), percent))
+    return counted.where("anomalies > 0")
+
+
+def far_pairs(rows: DataFrame, percent: int, price_bucket: int = 1_000, days: int = 30) -> DataFrame:
+    """As ``anomalies``, for listings with any number of prices: pairs are counted by merging sorted halves.
+
+    Two times of a listing, numbered in order, differ first at one binary digit; at its level the earlier price is in the left half of a
+    block and the later in the right. There the earlier prices that are too low or too high for a later one are counted by running sums
+    in the order of price. Each row stands once or twice at each of about log2(n) levels, and no task gets more of a listing's block
+    than a bucket of prices.
+    """
+    us = F.unix_micros(F.col("recorded_at").cast("timestamp"))
+    timed = rows.select("listing_id", us.alias("us"), F.col("price_pence").cast("long").alias("price"))
+    times = running(timed.select("listing_id", "us").distinct(), ["listing_id"], F.floor(F.col("us") / (days * 86_400_000_000)), [F.col("us")], {"k": F.lit(1)})
+    most = times.groupBy("listing_id").agg(F.max("k").alias("most"))
+    levels = F.when(F.col("most") > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.col("most").cast("double"))).cast("int")))
+    placed = timed.join(times, ["listing_id", "us"]).join(most, "listing_id").select("listing_id", (F.col("k") - 1).alias("k"), "price", F.explode(levels).alias("level"))
+    shifted = lambda by: F.call_function("shiftright", F.col("k"), by)
+    point = lambda key, turn, low, high: F.struct(key.cast("long").alias("key"), F.lit(turn).alias("turn"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    price = F.col("price")
+    left = F.when(price > 0, F.array(point(price * (100 - percent), 0, 1, 0), point(price * (100 + percent), 2, 0, 1)))
+    points = F.when(shifted(F.col("level")) % 2 == 0, left).otherwise(F.array(point(price * 100, 1, 0, 0)))
+    group = ["listing_id", "level", "block"]
+    spread = placed.select("listing_id", "level", shifted(F.col("level") + 1).alias("block"), F.explode(points).alias("p")).select(*group, "p.*")
+    so_far = running(spread, group, F.floor(F.col("key") / (100 * price_bucket)), [F.col("key"), F.col("turn")], {"lows": F.col("low"), "highs": F.col("high")})
+    lefts = spread.groupBy(*group).agg(F.sum("low").alias("left"))
+    later = so_far.where("turn = 1").join(lefts, group)
+    # too high: its lower bound is above the later price; too low: its upper bound is below
+    return later.groupBy("listing_id").agg(F.sum(F.col("left") - F.col("lows") + F.col("highs")).alias("anomalies"))
 
 
 def pivot_by_day(prices: DataFrame, listings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -65,6 +65,8 @@ QUERIES = {
     "page_details": _details,
     "page_reviews": _html_reviews,
     "page_listing_urls": _listing_urls,
+    "page_next": lambda s, d: X.next_pages(_with_made(s, d, M.list_pages)),
+    "page_link_addresses": lambda s, d: P.links(_with_made(s, d, M.list_pages)).select("page_id", "link"),
     "page_product_links": lambda s, d: P.product_links(_with_made(s, d, M.list_pages)),
 }
 
@@ -135,6 +137,7 @@ def _id(shop: str, key: str) -> str:
 
 _SHOP_ID = lambda key: f"CASE {key} % {len(M.SHOPS)} " + " ".join(f"WHEN {k} THEN {_id(s, key)}" for k, s in enumerate(M.SHOPS)) + " END"
 _ADDRESS = lambda key: f"({_SHOP(key, [a[0].removesuffix('$') for a in M.ADDRESSES.values()])}) || ({_SHOP_ID(key)})"
+_ORIGINS = ["/".join(a[0].split("/")[:3]) for a in M.ADDRESSES.values()]
 _LIKE = lambda w: f"(regexp_matches({w}, '^[A-Z]') AND length({w}) > 1 AND lower({w}) NOT IN ({_LIST(fixed.BRAND_SKIP_WORDS)}))"
 _QUOTED = ", ".join("'" + b.replace("'", "''") + "'" for b in fixed.KNOWN_BRANDS)
 _BLOCKED = "regexp_matches(lower(coalesce(text, '')), 'captcha|robot check|access denied|blocked')"
@@ -164,7 +167,17 @@ ORACLE_SQL = {
     "page_listing_urls": f"""WITH l AS (SELECT p_partkey AS k, p_partkey % 11 AS shop, p_partkey // 220 AS page FROM part), g AS (SELECT DISTINCT shop, page FROM l)
         SELECT -1 - (page * 11 + shop) AS page_id, 'product' AS kind, {_ADDRESS("k")} AS url, {_SHOP("shop", M.SHOPS)} AS retailer, 'dog-food' AS category, {_SHOP_ID("k")} AS external_id, NULL::INT AS page FROM l
         UNION ALL SELECT -1 - (page * 11 + shop), 'product', 'https://groceries.asda.com/product/9' || page, 'asda', 'dog-food', '9' || page, NULL FROM g WHERE shop = {M.SHOPS.index("asda")}
-        UNION ALL SELECT -1 - (page * 11 + shop), 'pagination', ({_SHOP("shop", ["/".join(a[0].split("/")[:3]) for a in M.ADDRESSES.values()])}) || '/pets/?page=' || (page + 2), {_SHOP("shop", M.SHOPS)}, 'dog-food', NULL, CAST(page + 2 AS INT) FROM g WHERE page % 3 < 2""",
+        UNION ALL SELECT -1 - (page * 11 + shop), 'pagination', ({_SHOP("shop", _ORIGINS)}) || '/pets/?page=' || (page + 2), {_SHOP("shop", M.SHOPS)}, 'dog-food', NULL, CAST(page + 2 AS INT) FROM g WHERE page % 3 < 2""",
+    "page_next": f"""WITH g AS (SELECT DISTINCT p_partkey % 11 AS shop, p_partkey // 220 AS page FROM part)
+        SELECT page_id, coalesce({", ".join(f"TRY_CAST(nullif(regexp_extract(url, '{p}', 1), '') AS INT)" for p in ("(?i)[?&]page=([0-9]{1,9})", "(?i)/page/([0-9]{1,9})", "(?i)/p/([0-9]{1,9})"))}, 1) AS page, NULL AS next_url FROM pages
+        UNION ALL SELECT -1 - (page * 11 + shop), CAST(page + 1 AS INT), CASE WHEN page % 3 < 2 THEN ({_SHOP("shop", _ORIGINS)}) || '/pets/?page=' || (page + 2) END FROM g""",
+    "page_link_addresses": f"""WITH l AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS href FROM pages),
+        parts AS (SELECT p_partkey AS k, p_partkey % 11 AS shop, p_partkey // 220 AS page, {_ADDRESS("p_partkey")} AS address FROM part), g AS (SELECT DISTINCT shop, page, {_SHOP("shop", _ORIGINS)} AS origin FROM parts)
+        SELECT page_id, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^\\w+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^\\w+://[^/?#]+') || href
+            ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^:/])/[^/]*$', '\1') || '/' || href END AS link FROM l
+        UNION ALL SELECT -1 - (page * 11 + shop), unnest([address, address]) FROM parts
+        UNION ALL SELECT -1 - (page * 11 + shop), origin || '/help' FROM g
+        UNION ALL SELECT -1 - (page * 11 + shop), origin || '/pets/' || unnest(CASE page % 3 WHEN 0 THEN ['?page=1', '?page=' || (page + 2)] WHEN 1 THEN ['#', '?page=' || (page + 2)] ELSE ['javascript:next()'] END) FROM g""",
     "page_product_links": f"""SELECT -1 - ((p_partkey // 220) * 11 + p_partkey % 11) AS page_id, {_ADDRESS("p_partkey")} AS link, {_SHOP("p_partkey", M.SHOPS)} AS retailer, {_SHOP_ID("p_partkey")} AS external_id,
         CASE WHEN p_partkey % 11 = {M.SHOPS.index("sainsburys")} THEN 'food--' || p_partkey END AS category FROM part""",
 }

@@ -47,9 +47,7 @@ QUERIES = {
     "newest_reviews": lambda s, d: reviews.newest(T.reviews(s, d)).select("listing_id", "id", "review_date"),
     "product_ratings": lambda s, d: reviews.rating_of_products(T.reviews(s, d), T.matches(s, d)),
     "page_links": lambda s, d: pages.links(_pages(s, d)).select("page_id", "href"),
-    "page_link_addresses": lambda s, d: pages.links(_pages(s, d)).select("page_id", "link"),
     "page_titles": lambda s, d: pages.titles(_pages(s, d)),
-    "page_next": lambda s, d: pages.next_pages(_pages(s, d)),
 }
 
 

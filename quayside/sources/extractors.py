@@ -343,14 +343,29 @@ def listing_urls(pages: DataFrame, registry: Registry | None = None) -> DataFram
     nothing = F.lit(None)
     products = products.select("page_id", F.lit("product").alias("kind"), F.col("link").alias("url"), "retailer", urls.category(url).alias("category"), registry.external_id(F.col("link")).alias("external_id"), nothing.cast("int").alias("page"))
     page = urls.page_number(url)
-    numbered = F.filter(F.flatten(F.transform(every(g, "pager"), lambda x: x["items"])), lambda i: (i["text"] == (page + 1).cast("string")) & _usable(i["attributes"]["href"]))
-    following = F.coalesce(first_of(g, "next")["attributes"]["href"], F.get(numbered, F.lit(0))["attributes"]["href"])
-    read = read.withColumn("next_url", urls.resolve(following, url)).where("next_url is not null")
+    read = read.withColumn("next_url", _following(g, url)).where("next_url is not null")
     named = urls.extracted(F.col("next_url"), r"(?i)[?&]page=(\d{1,9})").try_cast("int")
     paging = read.select("page_id", F.lit("pagination").alias("kind"), F.col("next_url").alias("url"), "retailer", urls.category(url).alias("category"), nothing.cast("string").alias("external_id"), F.coalesce(named, page + 1).alias("page"))
     return products.unionByName(paging)
 
 
+def _following(g: Column, url: Column) -> Column:
+    """The address of the next page: of the first usable link marked as next, else of the pager's link whose text is the next number."""
+    number = (urls.page_number(url) + 1).cast("string")
+    numbered = F.filter(F.flatten(F.transform(every(g, "pager"), lambda x: x["items"])), lambda i: (i["text"] == number) & _usable(i["attributes"]["href"]))
+    return urls.resolve(F.coalesce(first_of(g, "next")["attributes"]["href"], F.get(numbered, F.lit(0))["attributes"]["href"]), url)
+
+
+def next_pages(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """page_id, page, next_url of every page, whatever its host; next_url is null where there is none."""
+    registry, url = registry or standard(), F.col("url")
+    rows = pages.withColumn("retailer", F.coalesce(registry.retailer_of(url), F.lit(ANY)))
+    accept = F.when(F.col("field") == "next", _usable(F.col("attributes")["href"])).otherwise(True)
+    fields = {k: COMMON_LISTS[k] for k in ("next", "pager")}
+    read = rows.select("page_id", "url").join(gather(_found(pages.sparkSession, rows, registry, fields), accept, ("pager",)), "page_id", "left")
+    return read.select("page_id", urls.page_number(url).alias("page"), _following(F.col("g"), url).alias("next_url"))
+
+
 def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
 

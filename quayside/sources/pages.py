@@ -41,17 +41,6 @@ def product_links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "link", urls.retailer_of(F.col("link")).alias("retailer"), urls.external_id(F.col("link")).alias("external_id"), kind.alias("category"))
 
 
-def next_pages(pages: DataFrame) -> DataFrame:
-    """page_id, page, next_url: the link marked as next, else the one whose text is the next number; null if none."""
-    html, page = F.col("html"), urls.page_number(F.col("url"))
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*>[^<]*)</a>"), F.lit(1))
-    href = lambda a: F.regexp_extract(a, r"(?is)href=[\"']([^\"']*)[\"']", 1)
-    usable = lambda a: (href(a) != "") & ~F.lower(href(a)).rlike(r"javascript:|#|void\(0\)")
-    marked = F.get(F.filter(anchors, lambda a: usable(a) & a.rlike(r"(?is)rel=[\"']next|aria-label=[\"'][^\"']*next|class=[\"'][^\"']*next")), F.lit(0))
-    numbered = F.get(F.filter(anchors, lambda a: usable(a) & (F.trim(F.regexp_replace(a, r"(?s)<[^>]*>", "")) == (page + 1).cast("string"))), F.lit(0))
-    return pages.select("page_id", page.alias("page"), urls.resolve(F.coalesce(href(marked), href(numbered)), F.col("url")).alias("next_url"))
-
-
 def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", tag_text(F.col("html"), "title").alias("title"), tag_text(F.col("html"), "h1").alias("heading"))
 

@@ -132,5 +132,5 @@ def test_pages(spark):
     assert (got[2].title, got[2].price_pence, got[2].in_stock) == ("Unknown Product", 0, True)
     assert [(r.rating, r.author, str(r.review_date)) for r in pages.reviews(rows).collect()] == [(4.0, "Jo", "2024-01-15")]
     assert [r.external_id for r in pages.product_links(rows).collect()] == ["ABC1"]
-    assert pages.next_pages(rows).where("page_id = 1").first().next_url.endswith("?page=2")
+    assert extractors.next_pages(rows).where("page_id = 1").first().next_url.endswith("?page=2")
     assert value(spark, pages.nutrition(F.lit(PRODUCT))) == {"Protein": "25%"}
