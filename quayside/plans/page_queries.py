@@ -65,6 +65,7 @@ QUERIES = {
     "page_details": _details,
     "page_reviews": _html_reviews,
     "page_listing_urls": _listing_urls,
+    "page_nutrition": lambda s, d: X.nutrition(_with_made(s, d, M.product_pages)).select("page_id", F.explode("nutrition").alias("name", "value")),
     "page_next": lambda s, d: X.next_pages(_with_made(s, d, M.list_pages)),
     "page_link_addresses": lambda s, d: P.links(_with_made(s, d, M.list_pages)).select("page_id", "link"),
     "page_product_links": lambda s, d: P.product_links(_with_made(s, d, M.list_pages)),
@@ -168,6 +169,8 @@ ORACLE_SQL = {
         SELECT -1 - (page * 11 + shop) AS page_id, 'product' AS kind, {_ADDRESS("k")} AS url, {_SHOP("shop", M.SHOPS)} AS retailer, 'dog-food' AS category, {_SHOP_ID("k")} AS external_id, NULL::INT AS page FROM l
         UNION ALL SELECT -1 - (page * 11 + shop), 'product', 'https://groceries.asda.com/product/9' || page, 'asda', 'dog-food', '9' || page, NULL FROM g WHERE shop = {M.SHOPS.index("asda")}
         UNION ALL SELECT -1 - (page * 11 + shop), 'pagination', ({_SHOP("shop", _ORIGINS)}) || '/pets/?page=' || (page + 2), {_SHOP("shop", M.SHOPS)}, 'dog-food', NULL, CAST(page + 2 AS INT) FROM g WHERE page % 3 < 2""",
+    "page_nutrition": """SELECT -1 - p_partkey AS page_id, 'Protein' AS name, p_size || '%' AS value FROM part WHERE p_partkey % 2 = 0
+        UNION ALL SELECT -1 - p_partkey, 'Fat', '5.5%' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT -1 - p_partkey, 'Crude fibre', p_size || '%' FROM part WHERE p_partkey % 2 = 1""",
     "page_next": f"""WITH g AS (SELECT DISTINCT p_partkey % 11 AS shop, p_partkey // 220 AS page FROM part)
         SELECT page_id, coalesce({", ".join(f"TRY_CAST(nullif(regexp_extract(url, '{p}', 1), '') AS INT)" for p in ("(?i)[?&]page=([0-9]{1,9})", "(?i)/page/([0-9]{1,9})", "(?i)/p/([0-9]{1,9})"))}, 1) AS page, NULL AS next_url FROM pages
         UNION ALL SELECT -1 - (page * 11 + shop), CAST(page + 1 AS INT), CASE WHEN page % 3 < 2 THEN ({_SHOP("shop", _ORIGINS)}) || '/pets/?page=' || (page + 2) END FROM g""",

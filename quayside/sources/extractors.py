@@ -48,6 +48,12 @@ COMMON_LISTS = {
     ),
     "pager": (".pagination a", '[class*="pagination"] a', 'nav[aria-label*="pagination"] a', ".pager a", '[class*="pager"] a'),
 }
+# fixed values: where pages tell a product's constituents
+CONSTITUENTS = {
+    "nutrition": ('[data-zta="analyticalConstituents"]', '[data-testid="nutritional-info"]', ".analytical-constituents", ".product-analytical-constituents", ".nutritional-info", ".analysis", '[data-tab="analysis"]'),
+    "row": ("tr",),
+    "cell": ("td, th",),
+}
 # fixed values: of every shop's reviews
 COMMON_REVIEWS = {
     "review": (".review-item", ".customer-review", "[data-review]", ".review"),
@@ -315,6 +321,27 @@ def _in_scripts(scripts: Column, pattern: str, address: str) -> Column:
     return F.transform(F.regexp_extract_all(scripts, F.lit(pattern), F.lit(1)), lambda k: F.concat(F.lit(before), k, F.lit(after)))
 
 
+def nutrition(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """page_id, nutrition: the constituents that a page's tables tell, else those that a text such as 'Protein: 25%' begins with.
+
+    A table row tells its first two cells, if both have a text; of a name that comes again the last value counts. Pages without any give no row.
+    """
+    registry, spark = registry or standard(), pages.sparkSession
+    rows = pages.withColumn("retailer", F.coalesce(registry.retailer_of(F.col("url")), F.lit(ANY)))
+    found = _found(spark, rows, registry, CONSTITUENTS)
+    name = F.col("field")
+    cells = inside(found.where(name.isin("row", "cell")), name == "row").where("not is_box").groupBy("page_id", F.col("box").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("c"))
+    told = cells.select("page_id", "pre", F.get("c", F.lit(0))["text"].alias("name"), F.get("c", F.lit(1))["text"].alias("value"))
+    held = inside(found.where(name.isin("nutrition", "row")), name == "nutrition")
+    in_tables = held.where("not is_box").select("page_id", "pre", "box").join(told, ["page_id", "pre"], "left")
+    texts = held.where("is_box").join(in_tables.select("page_id", "box").distinct(), ["page_id", "box"], "left_anti")
+    line = r"^([\w\s]+?)\s*[:\-]\s*([\d.,]+%?)"
+    spelled = texts.select("page_id", "pre", F.trim(F.regexp_extract("text", line, 1)).alias("name"), F.regexp_extract("text", line, 2).alias("value"))
+    pairs = in_tables.select("page_id", "pre", "name", "value").unionByName(spelled).where("name <> '' and value <> ''")
+    last = pairs.groupBy("page_id", "name").agg(F.max_by("value", "pre").alias("value"))
+    return last.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("nutrition"))
+
+
 def _usable(href: Column) -> Column:
     return href.isNotNull() & ~F.lower(href).rlike(r"javascript:|#|void\(0\)")
 

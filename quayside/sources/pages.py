@@ -56,15 +56,6 @@ def _either(json: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(json, p)), F.lit("")) for p in paths])
 
 
-def nutrition(html: Column) -> Column:
-    """A map of the page's two-column table rows."""
-    cells = r"(?is)<tr[^>]*>\s*<t[dh][^>]*>\s*([^<]+?)\s*</t[dh]>\s*<td[^>]*>\s*([^<]+?)\s*</td>"
-    names, values = F.regexp_extract_all(html, F.lit(cells), F.lit(1)), F.regexp_extract_all(html, F.lit(cells), F.lit(2))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    return F.map_from_entries(firsts)
-
-
 def reviews(pages: DataFrame) -> DataFrame:
     """Reviews in the structured data of pages that aren't blocked; those without rating or text are left out."""
     html = F.col("html")

@@ -87,6 +87,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             m("weight", F.concat(F.lit("Size: "), (size * 100).cast("string"), F.lit("g"))), m("description", F.lit("Good <b>food</b> &amp; more<br>\n for  pets")),
             when(size % 4 < 3, m("ingredients", F.coalesce(T.one_of(T.INGREDIENTS, size % 4), F.lit("")))), marked(holder, image) if holder.startswith((".", "#", "[")) else image,
             when(size % 5 == 0, m("out_of_stock", F.lit("Sold out"))), when(size % 2 == 0, F.concat(F.lit("<span class=ean data-ean="), F.lpad(key.cast("string"), 13, "0"), F.lit("></span>"))),
+            F.when(key % 2 == 0, F.concat(F.lit("<table class=nutritional-info><tr><th>Protein</th><td> "), size.cast("string"), F.lit("%</td></tr><tr><td>Fat<td>5.5%<td>x<tr><td>Ash<td></table>"))).otherwise(F.concat(F.lit("<p class=analysis>Crude fibre: "), size.cast("string"), F.lit("% and more"))),
             F.lit("</div><footer><p>&copy; <i>end</footer></body></html>"),
         )
 

@@ -176,5 +176,11 @@ def test_listing_urls(spark):
     assert got == {(0, "product", "5", None), (0, "product", "77", None), (0, "product", "88", None), (0, "pagination", None, 3), (3, "pagination", None, 9)}
 
 
+def test_nutrition(spark):
+    table_page = "<tr><td>no<td>1</tr><div class=analysis><table><tr><td> Crude  Protein<th>25%<td>z<tr><td>Fat</td><td></td></tr><tr><td>Ash<td>6%</table></div><table class=nutritional-info><tr><td>Ash<td>7%</table>"
+    rows = table(spark, ("u", table_page), ("u", "<p class=analysis>Crude fibre - 2.5% more</p>"), ("u", "<p class=analysis>none told</p>"), ("u", "<table><tr><td>a<td>b</table>"))
+    assert {r.page_id: r.nutrition for r in X.nutrition(rows).collect()} == {0: {"Crude Protein": "25%", "Ash": "7%"}, 1: {"Crude fibre": "2.5%"}}
+
+
 def test_helpers_left_in_pages(spark):
     assert spark.range(1).select(P.tag_text(F.lit("<h1>a <b>b</b></h1>"), "h1").alias("t")).first().t == "a b"
