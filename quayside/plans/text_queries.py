@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quayside.functions import fixed, ingredients, similarity, text
 from quayside.functions.numbers import price_to_pence, rating_factor, stars
 from quayside.operators import matching, reviews
-from quayside.plans.base import sql
+from quayside.plans.base import case, sql
 from quayside.sources import pages, tables as T
 
 def _listings(spark, sf_dir):
@@ -36,10 +36,10 @@ QUERIES = {
     "match_pipeline": lambda s, d: matching.match(T.listings(s, d), T.products(s, d).where("is_verified"), T.matches(s, d).where("status = 'approved'")),
     "unmatched_listings": lambda s, d: matching.unmatched(T.listings(s, d), T.matches(s, d).where("status <> 'rejected'")).select("id", "title"),
     "new_products": lambda s, d: matching.new_products(T.listings(s, d)).select("brand", "title", "weight", "product_id", F.size("listing_ids").alias("n")),
-    "allergens": lambda s, d: _ingredients(s, d).select("ingredients", F.array_join(ingredients.allergens(ingredients.names(F.col("ingredients"))), ",").alias("allergens")),
-    "ingredient_lists": lambda s, d: _ingredients(s, d).select("ingredients", F.explode(ingredients.parse(F.col("ingredients"))).alias("x")).select("ingredients", "x.*", ingredients.ingredient_class(F.col("x.name")).alias("class")),
+    "allergens": lambda s, d: _ingredients(s, d).select("id", F.array_join(F.array_sort(ingredients.allergens(ingredients.names(F.col("ingredients")))), ",").alias("allergens")),
+    "ingredient_lists": lambda s, d: _ingredients(s, d).select("id", F.explode(ingredients.parse(F.col("ingredients"))).alias("x")).select("id", "x.*", ingredients.ingredient_class(F.col("x.name")).alias("class")),
     "ingredient_flags": lambda s, d: _ingredients(s, d).withColumn("a", ingredients.allergens(ingredients.names(F.col("ingredients")))).select(
-        "ingredients", ingredients.is_grain_free(F.col("a")).alias("grain_free"), ingredients.is_single_protein(F.col("a")).alias("single_protein"), ingredients.primary_protein(F.col("a")).alias("primary_protein")),
+        "id", ingredients.is_grain_free(F.col("a")).alias("grain_free"), ingredients.is_single_protein(F.col("a")).alias("single_protein"), ingredients.primary_protein(F.col("a")).alias("primary_protein")),
     "sentiment_scores": lambda s, d: reviews.analyse(T.reviews(s, d)).select("listing_id", "id", "score", "label", "confidence", F.array_join("positive_keywords", ",").alias("positive"), F.array_join("negative_keywords", ",").alias("negative")),
     "sentiment_topics": lambda s, d: reviews.topics(T.reviews(s, d)).select("id", F.array_join("praises", ",").alias("praises"), F.array_join("complaints", ",").alias("complaints")),
     "sentiment_summary": lambda s, d: reviews.summary(T.reviews(s, d)),
@@ -57,8 +57,20 @@ def _pairs(spark, sf_dir):
     return names.join(names.select(F.col("a").alias("b"), "word"), "word").where("a < b").select("a", "b")
 
 
+#: Words from which parts' lists of ingredients are put together.
+_MEATS = ("Chicken", "Fresh Lamb", "pork liver", "Salmon", "beef", "Duck", "Whitefish meal")
+_CARBS = ("brown rice", "Potato", "wheat flour", "Maize", "oats", "pea starch", "tapioca", "soya protein", "barley", "chickpea", "sweet potato")
+_REST = ("egg powder", "Carrot", "cranberry extract", "butter", "vitamin E (with iron, zinc)", "citric acid", "sunflower oil", "cheese", "zinc oxide", "apple", "rosemary extract", "celery", "minerals")
+
+
 def _ingredients(spark, sf_dir):
-    return T.listings(spark, sf_dir).select("ingredients").where("ingredients is not null").distinct()
+    """id, ingredients: a list for each part, of words by its key and size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda words, by: F.get(F.array(*[F.lit(w) for w in words]), (by % len(words)).cast("int"))
+    text = F.concat(
+        F.when(key % 2 == 0, "Composition: ").otherwise("INGREDIENTS : "), pick(_MEATS, key), F.lit(" (dried, "), size.cast("string"), F.lit(".5%), "), pick(_CARBS, size), F.lit("; ; "), F.col("p_name"), F.lit(" 4 %,"), pick(_REST, key + size), F.lit("; "), pick(_MEATS, size),
+    )
+    return T.scan(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 10 != 9, text).alias("ingredients"))
 
 
 _UNIT = "|".join(sorted(text.UNIT_GRAMS, key=lambda u: (-len(u), u)))
@@ -74,7 +86,26 @@ def _weight(expr: str) -> str:
 _CLEAN = lambda tag: f"""nullif(replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(nullif(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1), ''), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')),
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&pound;', '£'), '&nbsp;', ' '), '&amp;', '&'), '')"""
 
+def _picked(words, by: str) -> str:
+    return case(f"({by}) % {len(words)}", dict(enumerate(words)))
+
+
+# a comma inside parentheses stands as a sign of its own while lists are split
+_LISTS = f"""WITH texts AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 9 THEN ({_picked(_MEATS, "p_partkey")}) || ' (dried~ ' || p_size || '.5%), ' || ({_picked(_CARBS, "p_size")}) || '; ; ' || p_name || ' 4 %,'
+        || replace({_picked(_REST, "p_partkey + p_size")}, 'iron, ', 'iron~ ') || '; ' || ({_picked(_MEATS, "p_size")}) END AS t FROM part),
+    parts AS (SELECT id, list_filter(list_transform(string_split(replace(t, ';', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM texts),
+    one AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS position FROM parts),
+    lists AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(x, '\\d+(?:\\.\\d+)?\\s*%', '', 'g'), '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS name, CASE WHEN regexp_extract(x, '(\\d+(?:\\.\\d+)?)\\s*%', 1) <> '' THEN regexp_extract(x, '(\\d+(?:\\.\\d+)?)\\s*%', 1) || '%' END AS percentage,
+        CAST(position AS INT) AS position FROM one),
+    named AS (SELECT * FROM lists WHERE name <> ''),
+    found AS (SELECT p.p_partkey AS id, list_distinct(coalesce(flatten(list(CASE WHEN name IS NULL THEN [] ELSE list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(name), '{'|'.join(v)}') THEN '{k}' END" for k, v in fixed.ALLERGENS.items())}], lambda a: a IS NOT NULL) END)), [])) AS a
+        FROM part p LEFT JOIN named n ON n.id = p.p_partkey GROUP BY 1)"""
+
 ORACLE_SQL = {
+    "allergens": f"{_LISTS} SELECT id, array_to_string(list_sort(a), ',') AS allergens FROM found",
+    "ingredient_lists": f"{_LISTS} SELECT *, CASE {' '.join(f"WHEN regexp_matches(lower(name), '{'|'.join(v)}') THEN '{k}'" for k, v in fixed.INGREDIENT_CLASSES.items())} END AS class FROM named",
+    "ingredient_flags": f"""{_LISTS} SELECT id, NOT list_has_any(a, {list(fixed.GRAINS)!r}) AS grain_free, len(list_intersect(a, {list(fixed.PROTEINS)!r})) <= 1 AS single_protein,
+        CASE {" ".join(f"WHEN list_contains(a, '{x}') THEN '{x}'" for x in fixed.PROTEINS)} END AS primary_protein FROM found""",
     "normalize_titles": sql("listings", f""" SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower({_LONG}), 'with', ''), 'adult', ''), 'complete', ''), 'premium', ''), 'natural', ''),
         'grain free', ''), 'grain-free', ''), '\\d+(\\.\\d+)?\\s*(kg|g|lb|lbs|oz|ml|l)\\b', '', 'g'), '\\d+\\s*(x|pack)\\s*\\d*', '', 'g'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM listings"""),
     "normalize_brands": "SELECT upper(left(lower(p_brand), 1)) || substr(lower(p_brand), 2) AS brand, count(*) AS n FROM part GROUP BY 1",
