@@ -42,9 +42,3 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 def title_similarity(a: Column, b: Column) -> Column:
     """0 to 100 of two normalised titles: the larger of both measures."""
     return F.when(a == b, F.lit(100.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(similar_text(a, b), levenshtein_similarity(a, b)))
-
-
-def may_reach(a: Column, b: Column, percent: float) -> Column:
-    """False only where neither measure can reach ``percent``, by the lengths alone."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return (long == 0) | (short * 2 * 100 >= (short + long) * percent)

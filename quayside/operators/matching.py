@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed
 from quayside.functions.numbers import match_confidence
-from quayside.functions.similarity import may_reach, title_similarity
+from quayside.functions.similarity import title_similarity
 from quayside.functions.text import category_in_context, normalize_brand, normalize_category, normalize_title, weights_match
+from quayside.operators.alike import SLACK, near_titles
 
-#: The title's share of the confidence, and the most that the rest gives where brands differ and where one is missing.
-TITLE_PART, BEST_OF_OTHER_BRAND, BEST_WITHOUT_BRAND = 0.4, 35.0, 47.5
-#: The characters of normalised titles by the word of 64 bits that counts them, up to ``TIMES`` of each.
-BAGS, TIMES = ("etaoinsrhl", "dcumfpgwyb", "vkxjqz 012", "3456789"), 6
-SLACK = 1e-6  # for rounding
+#: The title's share of the confidence, and the most that the rest gives where brands differ.
+TITLE_PART, BEST_OF_OTHER_BRAND = 0.4, 35.0
 
 
 def unmatched(listings: DataFrame, matches: DataFrame) -> DataFrame:
@@ -44,71 +40,24 @@ def candidates(listings: DataFrame, products: DataFrame, least: float = fixed.FU
     """listing_id, product_id, similarity, confidence, same_category, exact of pairs that may match.
 
     Of equal brands all pairs whose titles reach ``least``; of different or missing brands those whose confidence
-    reaches it too, as no other can match.
-    """
-    a, b = prepared(listings, "l_", "title"), prepared(products, "p_", "name")
-    return same_brand(a, b, least).unionByName(other_brand(a, b, least))
-
+    reaches it too, as no other can match. Without the brand's part of the confidence, titles of different brands have
+    to be more alike than ``least``.
 
-def same_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Candidates of prepared listings and products with equal brands.
-
-    Pairs meet on the brand; those whose titles can't reach ``least`` percent by their lengths and characters fall out
-    there. The similarity is computed once for each pair of titles.
-    """
-    pairs = a.select("*", *bag("l_")).join(b.select("*", *bag("p_")), F.lower("l_brand") == F.lower("p_brand"))
-    pairs = pairs.where(may_reach(F.col("l_title"), F.col("p_title"), least) & shares_characters(F.length("l_title") + F.length("p_title"), least))
-    return scored(pairs.select(*a.columns, *b.columns), least)
-
-
-def other_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Candidates of prepared listings and products whose brands differ or are missing.
-
-    Without the brand's part of the confidence, titles of different brands have to be more alike than ``least``. Pairs
-    of distinct titles come first, then their similarities, then the rows that have them.
+    Distinct titles meet first, on their rarest grams: those of a brand, those without one with all others, and the more
+    alike ones of any brand. The similarity is computed once for each pair of titles, then the rows meet that have them.
     """
+    a, b = (t.withColumn(f"{p}block", F.lower(f"{p}brand")) for t, p in ((prepared(listings, "l_", "title"), "l_"), (prepared(products, "p_", "name"), "p_")))
     differ = max(least, (least - BEST_OF_OTHER_BRAND) / TITLE_PART)
-    unbranded = max(least, (least - BEST_WITHOUT_BRAND) / TITLE_PART)
-    titles = lambda df, p, which=None: (df if which is None else df.where(which)).where(F.col(f"{p}title").isNotNull()).select(f"{p}title").distinct()
-    met = near_titles(titles(a, "l_"), titles(b, "p_"), differ)
-    met = met.union(near_titles(titles(a, "l_", F.col("l_brand").isNull()), titles(b, "p_"), unbranded))
-    met = met.union(near_titles(titles(a, "l_"), titles(b, "p_", F.col("p_brand").isNull()), unbranded))
-    near = met.distinct().withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title"))).where(F.col("similarity") >= least)
-    other = ~F.coalesce(F.lower("l_brand") == F.lower("p_brand"), F.lit(False))
-    return rated(a.join(near, "l_title").join(b, "p_title").where(other)).where(F.col("confidence") >= least)
-
-
-def near_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """l_title, p_title of distinct titles, all pairs that can reach ``least`` percent and some that can't.
-
-    Both measures need as many characters in common, whatever their order, as ``least`` percent of the mean length.
-    Titles meet on their lengths; then their bags of characters are compared.
-    """
-    n = F.length("l_title")
-    lengths = F.sequence(F.ceil(n * (least / (200 - least)) - SLACK).cast("int"), F.floor(n * ((200 - least) / least) + SLACK).cast("int"))
-    left = a.select("l_title", n.alias("l_n"), *bag("l_"), F.explode(lengths).alias("n"))
-    right = b.select("p_title", F.length("p_title").alias("n"), *bag("p_"))
-    return left.join(right, "n").where(shares_characters(F.col("l_n") + F.col("n"), least)).select("l_title", "p_title")
-
-
-def shares_characters(both: Column, least: float) -> Column:
-    """Whether the bags of two titles of ``both`` characters together have enough in common to reach ``least`` percent."""
-    common = sum((F.bit_count(F.col(f"l_bag{k}").bitwiseAND(F.col(f"p_bag{k}"))) for k in range(len(BAGS))), F.least("l_more", "p_more"))
-    return common * 200 >= both * least - SLACK
-
-
-def bag(prefix: str) -> list[Column]:
-    """A title's characters as bits, one for each of the first ``TIMES`` of a kind, and the number of all others."""
-    title, one = F.col(f"{prefix}title"), F.lit(1).cast("long")
-    times = lambda c: F.least(F.lit(TIMES), F.length(title) - F.length(F.replace(title, F.lit(c), F.lit(""))))
-    bits = lambda c, at: F.shiftleft(F.call_function("shiftleft", one, times(c)) - one, at * TIMES)
-    bags = [reduce(Column.bitwiseOR, [bits(c, at) for at, c in enumerate(chars)]).alias(f"{prefix}bag{k}") for k, chars in enumerate(BAGS)]
-    return [*bags, (F.length(title) - sum((times(c) for c in "".join(BAGS)), F.lit(0))).alias(f"{prefix}more")]
-
-
-def scored(pairs: DataFrame, least: float) -> DataFrame:
-    titles = pairs.select("l_title", "p_title").distinct().withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title")))
-    return rated(pairs.join(titles.where(F.col("similarity") >= least), ["l_title", "p_title"]))
+    titles = lambda df, p, block: df.select(block.alias("block"), F.col(f"{p}title").alias("title"))
+    blocks = lambda df, p, own, all_of: titles(df, p, F.concat(F.lit("="), f"{p}block")).unionAll(titles(df, p, F.when(F.col(f"{p}block").isNull(), own))).unionAll(titles(df, p, F.lit(all_of)))
+    near = near_titles(blocks(a, "l_", "listings", "products"), blocks(b, "p_", "products", "listings"), least)
+    near = near.select("l_title", "p_title").unionAll(near_titles(titles(a, "l_", F.lit("")), titles(b, "p_", F.lit("")), differ).select("l_title", "p_title"))
+    pairs = near.distinct().withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title"))).where(F.col("similarity") >= least)
+    same = rated(a.join(pairs, "l_title").join(b.withColumnRenamed("p_block", "l_block"), ["p_title", "l_block"]))
+    other = ~F.coalesce(F.col("l_block") == F.col("p_block"), F.lit(False))
+    enough = F.col("l_block").isNull() | F.col("p_block").isNull() | (F.col("similarity") >= differ - SLACK)
+    rest = rated(a.join(pairs, "l_title").join(b, "p_title").where(other & enough)).where(F.col("confidence") >= least)
+    return same.unionByName(rest)
 
 
 def rated(near: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators on small tables, empty ones too."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from quayside.operators import events, matching, prices, updates
+from quayside.functions.similarity import title_similarity
+from quayside.operators import alike, events, matching, prices, updates
 from quayside.sources import exports
 from quayside.sources.tables import SCHEMAS
 
@@ -69,6 +71,12 @@ def test_matching(spark):
     assert {(r.listing_id, r.is_new) for r in matching.match(listings, products, none).collect()} == {(1, False), (2, False), (3, True)}
 
 
+def compared(a, b):
+    """All pairs of prepared rows whose titles reach 70 percent, by comparing each with each."""
+    rows = a.crossJoin(b).withColumn("similarity", title_similarity(F.col("l_title"), F.col("p_title")))
+    return matching.rated(rows.where("similarity >= 70"))
+
+
 def test_matching_meets_all_brands(spark):
     """Against all pairs: different and missing brands, misspelt, empty and null titles, letters that come often."""
     kinds = "id long, {} string, brand string, category string, weight_grams long, quantity int"
@@ -76,7 +84,7 @@ def test_matching_meets_all_brands(spark):
     rows = [(10 * k + j, n, brand, category, weight, quantity) for k, n in enumerate(names) for j, (brand, category, weight, quantity) in enumerate([("Acme", "Kibble", 2000, 1), ("Other", "Kibble", 2000, None), (None, "Kibble", None, 1), ("", None, 5000, 2)])]
     listings, products = spark.createDataFrame(rows, kinds.format("title")), spark.createDataFrame(rows, kinds.format("name"))
     a, b = matching.prepared(listings, "l_", "title"), matching.prepared(products, "p_", "name")
-    every = matching.scored(a.crossJoin(b), 70.0).where("confidence >= 70")
+    every = compared(a, b).where("confidence >= 70")
     key = lambda df: sorted((r.listing_id, r.product_id, round(r.confidence, 6), r.same_category) for r in df.collect())
     assert key(matching.candidates(listings, products).where("confidence >= 70")) == key(every)
     got = {(r.listing_id, r.product_id) for r in every.collect()}
@@ -93,9 +101,39 @@ def test_matching_of_other_brands_on_tables(spark):
     listings, products = tables.listings(spark, data), tables.products(spark, data)
     a, b = matching.prepared(listings, "l_", "title"), matching.prepared(products, "p_", "name")
     key = lambda df: sorted((r.listing_id, r.product_id, round(r.confidence, 6)) for r in df.where("confidence >= 70").collect())
-    every = key(matching.scored(a.crossJoin(b), 70.0))
+    every = key(compared(a, b))
     assert key(matching.candidates(listings, products)) == every
-    assert len(every) > len(key(matching.same_brand(a, b, 70.0)))
+    assert len(every) > len(key(compared(a, b.where("p_brand LIKE '%1%'"))))
+
+
+def test_near_titles_lose_no_pair(spark):
+    """Against all pairs, with titles of 0 to 60 characters that differ by some edits, for several thresholds."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    base = ["", "a", "aa", "ab", "aaaaaaa", "aaaaaab"] + [" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    changed = lambda t: "".join(c for c in t if rng.random() > 0.12) + rng.choice(["", "x", " ab"])
+    rows = [(rng.choice("xy"), t) for t in base] + [(rng.choice("xy"), changed(t)) for t in base * 2] + [(None, "ab"), ("x", None)]
+    a, b = (spark.createDataFrame(r, "block string, title string") for r in (rows[::2] + rows[:9], rows[1::2] + rows[:30]))
+    for least in (60.0, 70.0, 87.5):
+        every = a.select("block", F.col("title").alias("l_title")).join(b.select("block", F.col("title").alias("p_title")), "block").distinct()
+        wanted = {tuple(r)[:3] for r in every.where(title_similarity(F.col("l_title"), F.col("p_title")) >= least).collect()}
+        got = [tuple(r) for r in alike.near_titles(a, b, least).collect()]
+        assert wanted <= set(got) and len(got) == len(set(got)) and len(wanted) > 30
+    assert alike.near_titles(a.limit(0), b, 70.0).count() == 0
+
+
+def test_near_titles_meet_below_quadratic(spark):
+    """Four times the titles, of a catalogue whose names grow with it: less than eight times the pairs are met."""
+    def met(n):
+        rng = random.Random(n)
+        name = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+        names = [name() for _ in range(n)]
+        rows = [("", " ".join(rng.sample(names, 2)) + rng.choice([" dry food", " wet food", " treats"])) for _ in range(n)]
+        titles = spark.createDataFrame(rows, "block string, title string")
+        return alike.meetings(titles, titles, 87.5).count()
+
+    few, many = met(400), met(1600)
+    assert many < 8 * few and many < 1600 * 1600 / 4
 
 
 def test_whole_chart_and_history(spark):
