@@ -135,6 +135,17 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
         assert rows_of(S.run_available(job(stream(spark, own, EVENTS), late="12 hours"), path=path)) == expected, job.__name__
 
 
+@pytest.mark.parametrize("name", ["stream_daily_stats"])
+def test_queries_count_windows_that_are_still_open(spark, tmp_path, name):
+    """All days and sessions of the table come out, also those that the watermark hasn't passed."""
+    from quayside.plans.event_queries import QUERIES
+
+    rows = [(k, k % 3, "error", at(k * 600), 1.0) for k in range(9)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sum(r.failed if name == "stream_daily_stats" else r.failures for r in got) == len(rows)
+
+
 def test_first_seen_and_follow_ups(spark, tmp_path):
     folder = str(tmp_path / "seen")
     rows = [(k, 1, u, "r", at(k), None) for k, u in enumerate("abacabad")]
