@@ -66,7 +66,7 @@ QUERIES = {
     "success_rates": lambda s, d: M.success_rates(E.daily_statistics(T.crawl_events(s, d))),
     "today_totals": lambda s, d: M.queue_totals(T.crawl_events(s, d), _now(s, d)),
     "stream_daily_stats": lambda s, d: S.run_available(S.daily_statistics(_crawl_stream(s, d)), "complete"),
-    "stream_failure_sessions": lambda s, d: S.run_available(S.failure_sessions(_crawl_stream(s, d))),
+    "stream_failure_sessions": lambda s, d: S.run_available(S.failure_sessions(_crawl_stream(s, d)), "complete"),
     "stream_price_drops": lambda s, d: S.run_available(S.price_drops(_price_stream(s, d))),
     "stream_circuits": lambda s, d: S.run_available(S.circuits(_crawl_stream(s, d))),
     "stream_health": lambda s, d: S.run_available(S.health_changes(_crawl_stream(s, d))),
@@ -139,7 +139,7 @@ ORACLE_SQL = {
     "success_rates": sql("crawl", f" SELECT *, {ratio('completed * 100', 'completed + failed', 2)} AS success_rate FROM (SELECT retailer, count(*) FILTER (event = 'started') AS started, count(*) FILTER (event = 'completed') AS completed, count(*) FILTER (event = 'failed') AS failed, count(*) FILTER (event = 'discovered') AS discovered FROM crawl GROUP BY 1)"),
     "today_totals": sql("crawl", ", n AS (SELECT max(ts) AS t FROM events) SELECT event, count(*) AS total, count(*) FILTER (created_at >= t - INTERVAL 1 HOUR) AS last_hour, count(*) FILTER (created_at >= t - INTERVAL 24 HOUR) AS last_day FROM crawl, n GROUP BY 1"),
     "stream_daily_stats": sql("crawl", " " + _DAILY),
-    "stream_failure_sessions": sql("crawl", f" SELECT retailer, first_failure_at, failures FROM ({_sessions(60)}) WHERE last_failure_at + INTERVAL 60 MINUTE <= (SELECT max(created_at) - INTERVAL 1 DAY FROM crawl WHERE event = 'failed')"),
+    "stream_failure_sessions": sql("crawl", f" SELECT retailer, first_failure_at, failures FROM ({_sessions(60)})"),
     "stream_price_drops": sql("prices", f" {_DROPS}"),
     "stream_circuits": sql("crawl", f""" SELECT retailer, unnest(s.out, recursive := true) FROM (SELECT retailer, list_reduce(list({{'us': created_at, 'bad': event = 'failed'}} ORDER BY created_at, id, event),
         lambda s, x: CASE WHEN s.until > x.us AND NOT x.bad THEN {{'t': []::STRUCT(us TIMESTAMP, bad BOOLEAN)[], 'until': TIMESTAMP '1970-01-01', 'out': s.out}} ELSE

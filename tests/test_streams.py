@@ -135,7 +135,7 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
         assert rows_of(S.run_available(job(stream(spark, own, EVENTS), late="12 hours"), path=path)) == expected, job.__name__
 
 
-@pytest.mark.parametrize("name", ["stream_daily_stats"])
+@pytest.mark.parametrize("name", ["stream_daily_stats", "stream_failure_sessions"])
 def test_queries_count_windows_that_are_still_open(spark, tmp_path, name):
     """All days and sessions of the table come out, also those that the watermark hasn't passed."""
     from quayside.plans.event_queries import QUERIES
