@@ -17,7 +17,7 @@ def _with_made(spark, sf_dir, made):
 
 
 def _elements(spark, sf_dir):
-    rows = _pages(spark, sf_dir)
+    rows = E.by_page(_pages(spark, sf_dir))
     out = E.with_contents(E.elements(rows), rows)
     a = F.col("attributes")
     return out.select("page_id", "pre", "post", "depth", "parent", "tag", a["class"].alias("class"), a["href"].alias("href"), F.md5("text").alias("text_md5"), F.char_length("html").alias("html_length"))
@@ -29,13 +29,13 @@ RULES = (
 
 
 def _selected(spark, sf_dir):
-    rows = _pages(spark, sf_dir)
+    rows = E.by_page(_pages(spark, sf_dir))
     found = S.matches(E.elements(rows).withColumn("retailer", F.lit("any")), S.compile_rules(spark, RULES))
     return S.select_all(found).select("page_id", "field", "rank", "pre", "tag")
 
 
 def _first(spark, sf_dir):
-    rows = _pages(spark, sf_dir)
+    rows = E.by_page(_pages(spark, sf_dir))
     found = E.with_contents(S.matches(E.elements(rows).withColumn("retailer", F.lit("any")), S.compile_rules(spark, RULES)), rows)
     # of the paragraphs of an article only the first is looked at
     chosen = S.select_first(found, F.when(F.col("field") == "first", F.char_length("text") > 100).otherwise(F.col("text") != ""))

@@ -142,8 +142,8 @@ def select_first(found: DataFrame, accept: Column | None = None, *within: str) -
     return chosen.select("page_id", "field", *within, "e.*")
 
 
-def inside(found: DataFrame, box: Column) -> DataFrame:
-    """``found`` with ``is_box`` (where ``box`` holds) and ``box``: for a box its own pre, for others that of each box they lie in or stand for.
+def inside(found: DataFrame, box: Column, *within: str) -> DataFrame:
+    """``found``, in each page (and value of ``within``), with ``is_box`` (where ``box`` holds) and ``box``: for a box its own pre, for others that of each box they lie in or stand for.
 
     Boxes that hold each other are told apart by how many lie around; at each such level they are apart, so the box of an element
     is the last that begins before it, if it ends after it. An element comes once for each box around it, and not at all if there
@@ -154,13 +154,13 @@ def inside(found: DataFrame, box: Column) -> DataFrame:
     ends = F.struct((F.col("post") + 0.5).alias("at"), F.lit(-1).alias("turn"))
     rows = found.withColumn("is_box", F.coalesce(box, F.lit(False)))
     rows = rows.select("*", F.explode(F.when(F.col("is_box"), F.array(begins, ends)).otherwise(F.array(begins))).alias("e"))
-    order = Window.partitionBy("page_id").orderBy("e.at", F.col("e.turn").desc())
+    order = Window.partitionBy("page_id", *within).orderBy("e.at", F.col("e.turn").desc())
     rows = rows.withColumn("level", F.sum("e.turn").over(order) - 1).where("e.turn >= 0").drop("e")
-    deepest = F.max(F.when(F.col("is_box"), F.col("level"))).over(Window.partitionBy("page_id"))
+    deepest = F.max(F.when(F.col("is_box"), F.col("level"))).over(Window.partitionBy("page_id", *within))
     rows = rows.withColumn("deepest", deepest).where("deepest is not null")
     levels = F.when(F.col("is_box"), F.array("level")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("deepest")))
     rows = rows.select(*columns, "is_box", F.explode(levels).alias("level"))
-    so_far = Window.partitionBy("page_id", "level").orderBy("pre", ~F.col("is_box")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("page_id", *within, "level").orderBy("pre", ~F.col("is_box")).rowsBetween(Window.unboundedPreceding, -1)
     around = F.last(F.when(F.col("is_box"), F.struct("pre", "post")), ignorenulls=True).over(so_far)
     rows = rows.withColumn("_in", F.when(F.col("is_box"), F.struct("pre", "post")).otherwise(around)).where("_in.post >= post")
     return rows.select(*columns, "is_box", F.col("_in.pre").alias("box"))

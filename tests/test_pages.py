@@ -45,6 +45,20 @@ def test_pages_without_elements(spark):
     assert X.reviews(rows).count() == 0 and X.listing_urls(rows).count() == 0
 
 
+def test_overlapping_elements(spark):
+    """An element left open that ends inside the next isn't around it."""
+    rows = table(spark, ("u", "<li><td><li><td>"))
+    assert [(r.pre, r.post, r.depth, r.parent) for r in E.elements(rows).orderBy("pre").collect()] == [(0, 1, 0, None), (1, 2, 0, None), (2, 3, 0, None), (3, 3, 1, 2)]
+
+
+def test_elements_are_dealt_out_once(spark):
+    """Pages are dealt out once, into a number of parts that isn't chosen by their compressed size."""
+    rows = E.by_page(table(spark, ("u", "<ul><li>one<li>two</ul>")))
+    plan = E.elements(rows)._jdf.queryExecution().executedPlan().toString()
+    (exchange,) = [x for x in plan.splitlines() if "Exchange " in x]
+    assert "hashpartitioning(page_id#" in exchange and "REPARTITION_BY_NUM" in exchange
+
+
 def test_attributes(spark):
     rows = table(spark, ("u", """<a HREF='/x' class="b  a" data-n=5 checked data-n=6 title="&quot;q&quot;" />"""))
     (a,) = (r.attributes for r in E.elements(rows).collect())
