@@ -132,13 +132,14 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = len(SHOPS)
     rows = T.scan(spark, sf_dir, "part").select(key, (key % n).alias("shop"), F.floor(key / (20 * n)).alias("page"))
 
-    def link(shop: str) -> Column:
+    def link(shop: str, key: Column) -> Column:
         address = ADDRESSES[shop][0].removesuffix("$")
         path = "/" + address.split("/", 3)[3]
         one, i = (lambda a: F.concat(F.lit(f"<li class='item'><a class=x href='{a}"), i, F.lit("'>see</a>"))), shop_id(shop, key)
         return F.concat(one(path), one(address), F.lit("<a href='/help'>help</a>"))
 
-    grouped = rows.select("shop", "page", F.struct("p_partkey", _by_shop(F.col("shop"), link).alias("a")).alias("l")).groupBy("shop", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["a"]), "").alias("links"))
+    grouped = rows.groupBy("shop", "page").agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"))
+    grouped = grouped.select("shop", "page", _by_shop(F.col("shop"), lambda shop: F.array_join(F.transform("keys", lambda k: link(shop, k)), "")).alias("links"))
     following = (F.col("page") + 2).cast("string")
     head = F.concat(F.lit("<nav class='my-pagination'><a href='?page=1'>1</a><a href='?page="), following, F.lit("'>"), following, F.lit("</a></nav>"))
     mark = F.concat(F.lit("<a rel='nofollow' href='#'>x</a><a rel=next href='?page="), following, F.lit("'>on</a>"))
