@@ -6,6 +6,11 @@ order of (recorded_at, id, price_pence). ``as_of`` is a timestamp column, usuall
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,21 +251,55 @@ def user_alerts(drops: DataFrame, matches: DataFrame, alerts: DataFrame, cooldow
     return hit.where((F.col("target_price_pence") >= F.col("new_price_pence")) & rested).select("user_id", "product_id", "listing_id", "id", "dropped_at", "new_price_pence", "target_price_pence")
 
 
-def alerts_with_cooldown(drops: DataFrame, matches: DataFrame, alerts: DataFrame, cooldown_hours: int = fixed.PRICE_ALERT["cooldown_hours"]) -> DataFrame:
+def alerts_with_cooldown(drops: DataFrame, matches: DataFrame, alerts: DataFrame, cooldown_hours: int = fixed.PRICE_ALERT["cooldown_hours"], users: int = 1_000) -> DataFrame:
     """As user_alerts, each alert that is sent also resting its user and product: of drops within the cooldown one alerts.
 
-    A user's and product's drops are folded in order, in one row: those of one product's listings that reach one user's target.
+    Drops and alerts of a product meet in parts of about ``users`` alerts, never as all pairs; a part walks through its product's drops once.
     """
-    hit = drops.join(matches.select("listing_id", "product_id"), "listing_id").join(alerts.where("is_active"), "product_id").where(F.col("target_price_pence") >= F.col("new_price_pence"))
-    row = F.struct("dropped_at", "listing_id", "id", "new_price_pence", "target_price_pence")
-    grouped = hit.groupBy("user_id", "product_id").agg(F.array_sort(F.collect_list(row)).alias("x"), F.max("last_notified_at").alias("last"))
-    wait = F.expr(f"INTERVAL {int(cooldown_hours)} HOURS")
-    kind = grouped.schema["x"].dataType.simpleString()
-    start = F.struct(F.col("last").alias("last"), F.array().cast(kind).alias("sent"))
-    rested = lambda s, x: F.coalesce(s["last"] < x["dropped_at"] - wait, F.lit(True))
-    step = lambda s, x: F.when(rested(s, x), F.struct(x["dropped_at"].alias("last"), F.concat(s["sent"], F.array(x)).alias("sent"))).otherwise(s)
-    sent = grouped.select("user_id", "product_id", F.explode(F.aggregate("x", start, step)["sent"]).alias("s"))
-    return sent.select("user_id", "product_id", "s.listing_id", "s.id", "s.dropped_at", "s.new_price_pence", "s.target_price_pence")
+    active = alerts.where("is_active and target_price_pence is not null").select("user_id", "product_id", "target_price_pence", "last_notified_at")
+    parts = active.groupBy("product_id").agg(F.ceil(F.count(F.lit(1)) / users).alias("parts"))
+    own = drops.join(matches.select("listing_id", "product_id"), "listing_id").join(parts, "product_id")
+    # at one time a user is sent the first drop that reaches the target: one that is lower than all before it
+    before = Window.partitionBy("product_id", "dropped_at").orderBy("listing_id", "id", "new_price_pence").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.coalesce(F.col("new_price_pence") < F.min("new_price_pence").over(before), F.lit(True))
+    rows = own.withColumn("lower", lower).where("lower and new_price_pence is not null and dropped_at is not null").drop("lower")
+    rows = rows.select("product_id", "dropped_at", "listing_id", "id", "new_price_pence", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"))
+    dealt = active.join(parts, "product_id").withColumn("part", F.pmod(F.xxhash64("user_id"), F.col("parts")) + 1).drop("parts")
+    kinds = {f.name: f.dataType.simpleString() for f in (*dealt.schema, *rows.schema)}
+    columns = ("user_id", "product_id", "listing_id", "id", "dropped_at", "new_price_pence", "target_price_pence")
+    wait = int(cooldown_hours) * 3_600_000_000
+    return dealt.groupBy("product_id", "part").cogroup(rows.groupBy("product_id", "part")).applyInArrow(lambda a, d: _sent(a, d, wait, columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _sent(alerts: pa.Table, drops: pa.Table, wait: int, columns: tuple[str, ...]) -> pa.Table:
+    """What a product's drops send to some of its users, time by time, all users at once. A user's alerts of one product rest together."""
+    alerts = alerts.sort_by([("user_id", "ascending"), ("target_price_pence", "ascending")])
+    drops = drops.sort_by([(c, "ascending") for c in ("dropped_at", "listing_id", "id", "new_price_pence")])
+    us = lambda t, c: pc.fill_null(t[c].cast(pa.timestamp("us", getattr(t.schema.field(c).type, "tz", None))).cast(pa.int64()), _NEVER).to_numpy()
+    times, prices, targets, last = us(drops, "dropped_at"), drops["new_price_pence"].to_numpy(), alerts["target_price_pence"].to_numpy(), us(alerts, "last_notified_at").copy()
+    user = np.unique(alerts["user_id"].to_numpy(), return_inverse=True)[1]
+    single = len(user) == (user[-1] + 1 if len(user) else 0)
+    rest = np.full(user[-1] + 1 if len(user) else 0, _NEVER)
+    at = np.flatnonzero(np.r_[True, times[1:] != times[:-1]]) if len(times) else np.array([], int)
+    who, which = [], []
+    for start, end in pairwise([*at, len(times)]):
+        hit = np.flatnonzero((np.maximum(last, rest[user]) < times[start] - wait) & (targets >= prices[end - 1]))
+        if not len(hit):
+            continue
+        first = start + np.searchsorted(-prices[start:end], -targets[hit], side="left")
+        if not single:  # of a user's alerts the one with the earliest drop, then the lowest target
+            order = np.lexsort((targets[hit], first, user[hit]))
+            keep = order[np.r_[True, np.diff(user[hit][order]) != 0]]
+            hit, first = hit[keep], first[keep]
+        who.append(hit)
+        which.append(first)
+        rest[user[hit]] = times[start]
+    none = np.array([], int)
+    a, d = alerts.take(np.concatenate([none, *who])), drops.take(np.concatenate([none, *which]))
+    return pa.table({c: (a if c in ("user_id", "product_id", "target_price_pence") else d)[c] for c in columns})
+
+
+_NEVER = np.iinfo(np.int64).min // 2
 
 
 def anomalies(prices: DataFrame, percent: int = 50, in_row: int = 2_000) -> DataFrame:

@@ -162,3 +162,31 @@ def test_export(spark, tmp_path):
     assert (log.status, log.row_count) == ("completed", 1)
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first().name == "a, b"
     assert exports.export(rows, str(tmp_path / "out"), "products", NOW).first().status == "failed"
+
+
+def test_alerts_with_cooldown_meet_in_parts(spark):
+    """As a plain loop over all hits gives, and without rows for all pairs of drops and users."""
+    import datetime
+    import random
+
+    from quayside.operators import prices as P
+
+    rnd, day = random.Random(4), datetime.datetime(2024, 1, 1)
+    drops = [(rnd.randrange(6), k, day + datetime.timedelta(hours=12 * rnd.randrange(20)), rnd.randrange(1, 100)) for k in range(300)]
+    alerts = [(u, rnd.randrange(3), rnd.randrange(1, 100), u % 7 > 0, rnd.choice([None, day + datetime.timedelta(days=2)])) for u in range(60)] + [(1, 1, 5, True, None), (1, 1, 90, True, None), (1, 1, 40, True, None)]
+    matches = {listing: listing % 4 for listing in range(6)}
+    want, last = set(), {}
+    hits = ((d[2], d[0], d[1], d[3], a[2], a[0], a[1], a[4]) for d in drops for a in alerts if a[3] and a[1] == matches[d[0]] and a[2] >= d[3])
+    for at, listing, i, price, target, user, product, told in sorted(hits, key=lambda h: h[:7]):
+        known = [t for t in (told, last.get((user, product))) if t is not None]
+        if not known or max(known) < at - datetime.timedelta(hours=24):
+            last[user, product] = at
+            want.add((user, product, listing, i, at, price, target))
+    args = (
+        spark.createDataFrame(drops, "listing_id long, id long, dropped_at timestamp, new_price_pence long"), spark.createDataFrame(list(matches.items()), "listing_id long, product_id long"),
+        spark.createDataFrame(alerts, "user_id long, product_id long, target_price_pence long, is_active boolean, last_notified_at timestamp"),
+    )
+    for users in (5, 1_000):
+        out = P.alerts_with_cooldown(*args, users=users)
+        assert {tuple(r) for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
