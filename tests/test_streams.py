@@ -68,6 +68,18 @@ def test_order_of_arrival_doesnt_matter(spark, tmp_path):
     assert rejected == {(r.crawl_id, r.rejected) for r in batch.crawl_state(table).where("rejected > 0").collect()}
 
 
+def test_keys_that_share_a_bucket(spark, tmp_path):
+    import pandas as pd
+
+    from quayside.streaming.ordered import Spec, fold_in_order
+
+    folder = str(tmp_path / "buckets")
+    files(spark, folder, closing(shuffled(log(4, 60), 20, 5)), EVENTS)
+    spec = Spec(lambda last, row: ((row.id,), [(row.id, last and last[0])]), ["id"], "last long", "id long, before long", pd.Timedelta("60 days"))
+    one, many = (rows_of(S.run_available(fold_in_order(stream(spark, folder, EVENTS), ["crawl_id"], "created_at", spec, "12 hours", n))) for n in (1, 64))
+    assert one == many and len(one) >= 60
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "late")
     rows = [(k, 1, "failed" if k == 1 else "discovered", "r", at(k * 60), None) for k in range(6)]
