@@ -78,12 +78,22 @@ def savings_percent(on_sale: Column, average: Column, price: Column) -> Column:
     return F.when(on_sale & (average > 0), rounded_ratio((average - price) * 100, average, 1))
 
 
-def match_confidence(similarity: Column, brands: tuple[Column, Column], categories: tuple[Column, Column], weights: tuple[Column, Column], quantities: tuple[Column, Column]) -> Column:
-    """0 to 100: title 40 %, brand 25, category 15, weight 12, quantity 8; half of a part where either side is missing."""
-    from quayside.functions.text import brands_match, weights_match
+def brand_points(a: Column, b: Column) -> Column:
+    """The brand's part of the confidence: half of 25 where either side is missing."""
+    from quayside.functions.text import brands_match
+
+    return F.when(a.isNull() | b.isNull(), 12.5).when(brands_match(a, b), 25.0).otherwise(0.0)
+
+
+def match_confidence(similarity: Column, brands: tuple[Column, Column] | Column, categories: tuple[Column, Column], weights: tuple[Column, Column], quantities: tuple[Column, Column]) -> Column:
+    """0 to 100: title 40 %, brand 25, category 15, weight 12, quantity 8; half of a part where either side is missing.
+
+    ``brands`` are the two brands, or the points that they give.
+    """
+    from quayside.functions.text import weights_match
 
     missing = lambda pair: pair[0].isNull() | pair[1].isNull()
-    brand = F.when(missing(brands), 12.5).when(brands_match(*brands), 25.0).otherwise(0.0)
+    brand = brands if isinstance(brands, Column) else brand_points(*brands)
     category = F.when(categories[1].isNull() | (categories[0] == categories[1]), 15.0).otherwise(0.0)
     weight = F.when(missing(weights), 6.0).when(weights_match(*weights), 12.0).otherwise(0.0)
     quantity = F.when(missing(quantities), 4.0).when(quantities[0] == quantities[1], 8.0).otherwise(0.0)

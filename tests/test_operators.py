@@ -106,6 +106,22 @@ def test_matching_of_other_brands_on_tables(spark):
     assert len(every) > len(key(compared(a, b.where("p_brand LIKE '%1%'"))))
 
 
+def test_matching_normalises_names_and_not_rows(spark):
+    """Titles, brands and categories are normalised above the aggregate that gives the distinct ones; no table's rows are broadcast for its small file."""
+    kinds = "id long, {} string, brand string, category string, weight_grams long, quantity int"
+    rows = [(k, f"Dry Chicken {k % 3}", "Acme", "Kibble", 2000, 1) for k in range(30)]
+    listings, products = spark.createDataFrame(rows, kinds.format("title")), spark.createDataFrame(rows[:3], kinds.format("name"))
+    pairs = matching.candidates(listings, products)
+    lines = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for at, line in enumerate(lines):
+        if "regexp_replace(" in line:
+            end = next((n for n in range(at + 1, len(lines)) if depth[n] <= depth[at]), len(lines))
+            assert any("Aggregate [" in x for x in lines[at:end]), line
+    assert sum("Join Inner" in x and "strategy=merge" in x for x in lines) == 2
+    assert pairs.count() == 90
+
+
 def test_near_titles_lose_no_pair(spark):
     """Against all pairs, with titles of 0 to 60 characters that differ by some edits, for several thresholds."""
     rng = random.Random(5)
