@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import fixed
@@ -17,7 +17,7 @@ TITLE_PART, BEST_OF_OTHER_BRAND = 0.4, 35.0
 
 def unmatched(listings: DataFrame, matches: DataFrame) -> DataFrame:
     """Listings without a match."""
-    return listings.join(matches.select(F.col("listing_id").alias("id")), "id", "left_anti")
+    return listings.hint("merge").join(matches.select(F.col("listing_id").alias("id")), "id", "left_anti")
 
 
 def prepared(table: DataFrame, prefix: str, name: str) -> DataFrame:
@@ -133,9 +133,20 @@ def new_products(listings: DataFrame) -> DataFrame:
 
 
 def match(listings: DataFrame, products: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matches of all unmatched listings: existing products where one is near enough, else new ones (exact, 100)."""
+    """Matches of all unmatched listings: existing products where one is near enough, else new ones (exact, 100).
+
+    New products are those of ``new_products``. Candidates are found once: a listing without one is told by the join with the best ones.
+    """
     todo = unmatched(listings, matches)
-    found = best(candidates(todo, products))
-    rest = new_products(todo.join(found.select(F.col("listing_id").alias("id")), "id", "left_anti"))
-    made = rest.select(F.explode("listing_ids").alias("listing_id"), F.col("product_id"), F.lit(100).cast("decimal(5,2)").alias("confidence_score"), F.lit("exact").alias("match_type"))
-    return found.withColumn("is_new", F.lit(False)).unionByName(made.withColumn("is_new", F.lit(True)))
+    rows = todo.select("id", "title", "brand", *measures(todo, "")).hint("merge").join(best(candidates(todo, products)).withColumnRenamed("listing_id", "id"), "id", "left")
+    is_new = F.col("product_id").isNull()
+    group = (normalize_brand(F.col("brand")), normalize_title(F.col("title")), F.col("weight"), F.col("quantity"))
+    each = Window.partitionBy(*[F.when(is_new, c) for c in group], F.when(~is_new, F.col("id"))).orderBy("id")
+    rows = rows.select("id", "product_id", "confidence_score", "match_type", is_new.alias("is_new"), F.min("id").over(each).alias("first"), F.row_number().over(each).alias("n"))
+    return rows.where("is_new OR n = 1").select(
+        F.col("id").alias("listing_id"),
+        F.coalesce("product_id", "first").alias("product_id"),
+        F.coalesce("confidence_score", F.lit(100).cast("decimal(5,2)")).alias("confidence_score"),
+        F.coalesce("match_type", F.lit("exact")).alias("match_type"),
+        "is_new",
+    )

@@ -122,6 +122,15 @@ def test_matching_normalises_names_and_not_rows(spark):
     assert pairs.count() == 90
 
 
+def test_match_finds_candidates_once(spark):
+    kinds = "id long, {} string, brand string, category string, weight_grams long, quantity int"
+    rows = [(9, "Cat Litter", None, None, None, None), (3, "cat litter", None, None, None, None), (4, "Cat Litter", "Acme", None, 500, None), (5, "Dry Chicken", "acme", "Kibble", 2000, 1), (6, "Dry Chicken", "acme", "Kibble", 2000, 1)]
+    listings, products = spark.createDataFrame(rows, kinds.format("title")), spark.createDataFrame([(7, "Dry Chicken", "Acme", "Kibble", 2000, 1)], kinds.format("name"))
+    out = matching.match(listings, products, spark.createDataFrame([(6,)], "listing_id long"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.listing_id, r.product_id, float(r.confidence_score), r.match_type, r.is_new) for r in out.collect()) == [(3, 3, 100.0, "exact", True), (4, 4, 100.0, "exact", True), (5, 7, 100.0, "exact", False), (9, 3, 100.0, "exact", True)]
+
+
 def test_near_titles_lose_no_pair(spark):
     """Against all pairs, with titles of 0 to 60 characters that differ by some edits, for several thresholds."""
     rng = random.Random(5)
