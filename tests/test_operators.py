@@ -189,6 +189,38 @@ def test_export(spark, tmp_path):
     assert exports.export(rows, str(tmp_path / "out"), "products", NOW).first().status == "failed"
 
 
+def test_user_alerts_meet_in_lists(spark, tmp_path):
+    """As a plain loop over all pairs gives, and written in less than a byte and a half for a row of seven columns."""
+    import datetime
+    import random
+
+    from quayside.operators import prices as P
+
+    rnd, day = random.Random(6), datetime.datetime(2024, 1, 1)
+    kinds = ("listing_id long, id long, dropped_at timestamp, new_price_pence long", "listing_id long, product_id long", "user_id long, product_id long, target_price_pence long, is_active boolean, last_notified_at timestamp")
+    told, price = (None, day + datetime.timedelta(days=2), day + datetime.timedelta(days=3)), lambda: rnd.randrange(1, 100)
+    drops = [(rnd.randrange(6), k, rnd.choice([None, *(day + datetime.timedelta(hours=12 * n) for n in range(12))]), price()) for k in range(90)]
+    alerts = [(rnd.choice([None, u, u]), rnd.choice([None, 0, 1, 2]), rnd.choice([None, *range(1, 100)]), rnd.choice([None, False, True, True, True]), rnd.choice(told)) for u in range(160)] + [(1, 1, 50, True, None)] * 3
+    matches = [(listing, listing % 4) for listing in range(6)] + [(1, 2), (1, 2), (2, None), (None, 1)]
+    wait = datetime.timedelta(hours=24)
+    want = [
+        (a[0], p, listing, i, at, cost, a[2]) for listing, i, at, cost in drops for own, p in matches for a in alerts
+        if own == listing and p is not None and a[1] == p and a[3] and a[2] is not None and a[2] >= cost and (a[4] is None or (at is not None and a[4] < at - wait))
+    ]
+    args = [spark.createDataFrame(rows, kind) for rows, kind in zip((drops, matches, alerts), kinds, strict=True)]
+    assert want
+    for more in ({}, {"users": 1}, {"users": 4}):
+        out = P.user_alerts(*args, **more)
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+    drops = [(k % 500, k, day + datetime.timedelta(days=rnd.randrange(300)), rnd.randrange(100_000)) for k in range(1_500)]
+    alerts = [(u, u % 5, rnd.randrange(100_000), True, None) for u in range(4_000)]
+    args = [spark.createDataFrame(rows, kind) for rows, kind in zip((drops, [(k, k % 5) for k in range(500)], alerts), kinds, strict=True)]
+    P.user_alerts(*args).write.parquet(out := str(tmp_path / "out"))
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 1.5 * spark.read.parquet(out).count()
+
+
 def test_alerts_with_cooldown_meet_in_parts(spark):
     """As a plain loop over all hits gives, and without rows for all pairs of drops and users."""
     import datetime
