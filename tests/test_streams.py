@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,24 @@ def test_alerts_rest_for_a_day_and_their_state_ends(spark, tmp_path):
     assert kept(24) < kept(24 * 365)
 
 
+def test_alerts_of_many_users_wait_as_drops_not_as_pairs(spark, tmp_path):
+    r, folder = random.Random(3), str(tmp_path / "drops")
+    drops = [(r.randrange(3), k, at(60 * r.randrange(150)), 100, r.randrange(20, 80)) for k in range(120)]
+    files(spark, folder, [drops[:50], drops[50:], [(2, 900, at(60_000), 2, 1)], [(2, 901, at(70_000), 2, 1)]], DROPS)
+    matches = spark.createDataFrame([(0, 7), (1, 7), (2, 8)], "listing_id long, product_id long")
+    told = [None, at(-60), at(3_000)]
+    users = [(u, r.choice([7, 8]), r.randrange(15, 90), r.random() < 0.9, r.choice(told)) for u in [*range(300), *range(100)]]
+    alerts = spark.createDataFrame(users, "user_id long, product_id long, target_price_pence long, is_active boolean, last_notified_at timestamp")
+    out = S.run_available(S.user_alerts(stream(spark, folder, DROPS), matches, alerts, late="8 days"))
+    want = rows_of(P.alerts_with_cooldown(spark.createDataFrame(drops, DROPS), matches, alerts))
+    assert rows_of(out.where("id < 900")) == want and len(want) > 500
+    # nothing has passed: 122 drops wait, at most once in each of eight parts, whereas more than 10,000 pairs of drops and users would
+    path = S.work_dir(spark)
+    S.run_available(S.user_alerts(stream(spark, folder, DROPS), matches, alerts, late="900 days"), path=path)
+    waiting = [x.list_element.block for x in spark.read.format("statestore").option("stateVarName", "pending").load(f"{path}/checkpoint").collect()]
+    assert 100 < sum(pa.ipc.open_stream(b).read_all().num_rows for b in waiting) <= 122 * 8
+
+
 def test_a_stopped_run_goes_on(spark, tmp_path):
     """Three triggers, the second of which is killed while it writes: nothing is lost and nothing comes twice."""
     rows = log(5, 90)
